@@ -34,17 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call uses; :func:`release` deletes it."""
+def new_folder(spark: SparkSession, name: str, scratch: bool = True) -> str:
+    """A path below the shared folder that no other call uses; of a scratch one, :func:`release` deletes it."""
     path = f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    if scratch:
+        _scratch.append((spark, path))
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """``df`` as a table written to the shared folder: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = new_folder(spark, name, scratch)
     df.write.parquet(path)
     free(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann, bpe, chat, fingerprint, ngram_join, packing, toxicity, warc
+from keyloom.llm import ann, bpe, chat, fingerprint, ngram_join, packing, substring, suffix, toxicity, warc
 from keyloom.llm.common import partitions_for, sha256_text
 
 
@@ -33,6 +33,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept")).alias("kept_sha256"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
@@ -84,16 +89,23 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup_suffixes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
         "op3_ngram_join": op3_ngram_join,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_chat": op5_chat,
         "op6_warc": op6_warc,
         "op7_bpe": op7_bpe,
         "op8_fingerprint": op8_fingerprint,
         "op9_ann": op9_ann,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

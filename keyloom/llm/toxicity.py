@@ -271,3 +271,14 @@ def learn_from(docs: DataFrame, labels: DataFrame) -> Lexicon:
     train = train.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id")
     return learn(rows)
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score under the threshold; null texts stay."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            yield b.filter(pa.array([lexicon.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
