@@ -33,16 +33,16 @@ def _gather(x: Column) -> Column:
 
 
 def encode(lon: Column, lat: Column) -> Column:
-    """Latitude bits at even places, longitude bits at odd ones; what overflows an axis wraps to its start."""
+    """Longitude bits at even places, latitude bits at odd ones; what overflows an axis wraps to its start."""
     wrap = F.lit((1 << BITS) - 1).cast("long")
-    return _spread(_cell(lat, *LAT).bitwiseAND(wrap)).bitwiseOR(F.shiftleft(_spread(_cell(lon, *LON).bitwiseAND(wrap)), 1))
+    return _spread(_cell(lon, *LON).bitwiseAND(wrap)).bitwiseOR(F.shiftleft(_spread(_cell(lat, *LAT).bitwiseAND(wrap)), 1))
 
 
 def decode(cell: Column) -> tuple[Column, Column]:
     """Longitude and latitude of the cell's lower corner."""
     size = float(1 << BITS)
-    lon = _gather(F.shiftright(cell, 1)).cast("double") / size * (LON[1] - LON[0]) + LON[0]
-    lat = _gather(cell).cast("double") / size * (LAT[1] - LAT[0]) + LAT[0]
+    lon = _gather(cell).cast("double") / size * (LON[1] - LON[0]) + LON[0]
+    lat = _gather(F.shiftright(cell, 1)).cast("double") / size * (LAT[1] - LAT[0]) + LAT[0]
     return lon, lat
 
 
@@ -54,7 +54,7 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 def text(cell: Column) -> Column:
     """Eleven base-32 digits of the cell, least significant first."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.substring(F.lit(ALPHABET), F.expr("1").cast("int") + _digit(cell, i), F.lit(1))), "")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.substring(F.lit(ALPHABET), _digit(cell, i) + 1, F.lit(1))), "")
 
 
 def _digit(cell: Column, i: Column) -> Column:

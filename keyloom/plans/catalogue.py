@@ -301,7 +301,7 @@ query("memory_usage", "SELECT key, CAST(64+sum(strlen(field)+strlen(value)) AS B
 _LON, _LAT = "floor((lon+180.0)/360.0*67108864)/67108864*360.0-180.0", "floor((lat+90.0)/180.0*67108864)/67108864*180.0-90.0"
 _HAV = "2*6372797.560856*asin(sqrt(least(pow(sin((radians({lat2})-radians({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2),1.0)))"
 _CELLS = f"SELECT member, {_LON} AS lon, {_LAT} AS lat FROM points"
-query("geo_geoadd_hash", "SELECT member, CAST(list_sum(list_transform(range(26), lambda b: ((CAST(floor((lat+90.0)/180.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b)) + ((CAST(floor((lon+180.0)/360.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b+1)))) AS BIGINT) AS cell FROM points")(lambda t: geo.add(t.points()).select("member", F.col("score").cast("long").alias("cell")))
+query("geo_geoadd_hash", "SELECT member, CAST(list_sum(list_transform(range(26), lambda b: ((CAST(floor((lon+180.0)/360.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b)) + ((CAST(floor((lat+90.0)/180.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b+1)))) AS BIGINT) AS cell FROM points")(lambda t: geo.add(t.points()).select("member", F.col("score").cast("long").alias("cell")))
 query("geo_geopos", f"SELECT member, round(lon,6) AS lon, round(lat,6) AS lat FROM ({_CELLS})")(lambda t: geo.position(geo.add(t.points())).select("member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))
 
 
