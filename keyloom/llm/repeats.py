@@ -28,6 +28,8 @@ from keyloom.llm.words import CHUNK, U, _tables, mix
 TOGETHER, BUCKETS = 2048, 4
 #: Open paths of one anchor up to this many are compared by content in one task; those of others window by window.
 MANY = 1024
+#: Bytes of a content's hash that are sent; an anchor's 57 bits must agree besides.
+CONTENT = 6
 I64 = np.int64
 #: Added to a path's number of windows, which is under it.
 TIED = 128
@@ -109,6 +111,18 @@ def _earlier(doc: np.ndarray, start: np.ndarray, first: np.ndarray, within: bool
     return (doc != doc[lead]) | (start != start[lead]) if within else doc != doc[lead]
 
 
+def _planes(x: np.ndarray, keep: int = 8) -> bytes:
+    """The low ``keep`` bytes of 64-bit numbers, all first bytes, then all second ones, ...: what varies little compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :keep].T.tobytes()
+
+
+def _from_planes(data: bytes, n: int, dtype: type) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view(dtype).ravel()
+
+
 def find_paths(docs: DataFrame, hasher: Hasher, size: int, k: int, within: bool) -> DataFrame:
     """Paths of doc_id, text that repeat an earlier one (with its place), and paths to compare further; see FOUND.
 
@@ -146,9 +160,10 @@ def find_paths(docs: DataFrame, hasher: Hasher, size: int, k: int, within: bool)
             cuts = np.searchsorted(to[o], np.arange(buckets + 1))
             for i in np.flatnonzero(np.diff(cuts)).tolist():
                 x = o[cuts[i] : cuts[i + 1]]
+                x = x[np.lexsort((s[x], d[x]))]
                 rows.append((i, OPEN, a[x], c[x], d[x], s[x], n[x]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[j].tobytes() for r in rows], pa.binary()) for j in range(2, 7))],
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([_planes(r[j], CONTENT if j == 3 and r[1] == OPEN else 8) for r in rows], pa.binary()) for j in range(2, 6)), pa.array([r[6].tobytes() for r in rows], pa.binary())],
                 ["bucket", "kind", "anchor", "content", "doc", "start", "count"],
             )
 
@@ -181,7 +196,8 @@ def find_paths(docs: DataFrame, hasher: Hasher, size: int, k: int, within: bool)
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("bucket", "kind", "anchor", "content", "doc", "start", "count")]
             for bucket, kind, *packed in zip(*cols):
-                x = [np.frombuffer(p, t) for p, (_, t) in zip(packed, COLUMNS)]
+                n = len(packed[4])
+                x = [*(_from_planes(p, n, t) for p, (_, t) in zip(packed[:4], COLUMNS)), np.frombuffer(packed[4], np.uint8)]
                 if kind == REPEATED:
                     yield result(x[2], x[3], x[4], x[0] * U(0), REPEATED, x[1].view(I64), x[0].view(I64))
                     continue
