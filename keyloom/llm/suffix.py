@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm import repeats
-from keyloom.llm.common import partitions_for, small_batches, two
+from keyloom.llm.common import partitions_for, small_batches, two, written
 from keyloom.llm.words import U, _BYTE
 
 #: Bytes in a window and in an anchor; depth of the quicksort.
@@ -179,7 +179,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, start, count: runs of 100-byte windows (byte numbers) of doc_id, text that also start earlier."""
     found = repeats.find_paths(docs, hash_bytes, SIZE, K, within=True)
     cols = ["doc_id", "start", "count"]
-    out = found.filter(F.col("kind") == repeats.REPEATED).select(*cols).unionByName(_compare(docs, found))
+    # Written, so that the texts shuffled for the comparison are gone before they are shuffled for the cut.
+    out = found.filter(F.col("kind") == repeats.REPEATED).select(*cols).unionByName(written(_compare(docs, found), "compared"))
     if not found.filter(F.col("kind") == repeats.OPEN_MANY).isEmpty():
         out = out.unionByName(repeats.open_windows(docs, found, hash_bytes, SIZE, repeats.OPEN_MANY, within=True).select(*cols))
     return out
