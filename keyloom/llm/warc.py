@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     folder = new_folder(spark, "warc")
     p = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), F.coalesce(pages[html].cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    first = p.groupBy("sha").agg(F.max_by(F.struct(F.col("page_id").alias("to"), F.col("url").alias("to_url")), F.struct("page_id", "url")).alias("f"), F.count("page_id").alias("n"))
+    first = p.groupBy("sha").agg(F.max_by(F.struct(F.col("page_id").alias("to"), F.col("url").alias("to_url")), F.struct("page_id", "url")).alias("f"), F.count("*").alias("n"))
     p = p.join(first.filter("n > 1").select("sha", "f.to", "f.to_url").hint("shuffle_hash"), "sha", "left").select("page_id", "url", "html", "to", "to_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
