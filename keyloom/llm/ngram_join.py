@@ -31,6 +31,8 @@ from keyloom.llm.words import LOWER, U, mix, windows, word_hashes
 WORDS, PERCENT, CELL = 5, 80, 4096
 #: A token in more than one of FREQUENT sets goes last in the index order; at most MOST_FREQUENT such tokens are sent along.
 FREQUENT, MOST_FREQUENT = 2048, 500_000
+#: Bits for each token of the bitmaps of sets that have candidates.
+WIDE = 8
 #: Further token orders that candidates are filtered by.
 ORDERS = (U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47))
 
@@ -59,10 +61,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def bits_of(s: np.ndarray) -> bytes:
-    """A bitmap of about one to two bits for each token, of a power of two of bits."""
+def bits_of(s: np.ndarray, each: int = 1) -> bytes:
+    """A bitmap of ``each`` to twice as many bits for each token, of a power of two of bits."""
     m = 64
-    while m < len(s):
+    while m < each * len(s):
         m *= 2
     out = np.zeros(m // 8, np.uint8)
     at = (s >> U(17)) & U(m - 1)
@@ -196,10 +198,11 @@ def candidates(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, p
         folded = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[k], U).reshape(-1, int(m) // 8), axis=0) for k in used])
         count = np.bitwise_count(folded).sum(1).astype(np.int64)
         a, b = back[: len(at)], back[len(at) :]
-        for s in range(0, len(at), 1 << 16):
-            x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+        step = max(16, (1 << 24) // int(m))
+        for s in range(0, len(at), step):
+            x, y = a[s : s + step], b[s : s + step]
             both = np.bitwise_count(folded[x] & folded[y]).sum(1).astype(np.int64)
-            k = at[s : s + (1 << 16)]
+            k = at[s : s + step]
             ok[k] = (n[i[k]] - (count[x] - both) >= need[k]) & (n[j[k]] - (count[y] - both) >= need[k])
             apart[k] = count[x] + count[y] - 2 * both
     return ok, apart
@@ -323,21 +326,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
-    """e, s (the set), p (its prefixes under the other orders) of doc_id, text, e."""
+    """e, s (the set), p (its prefixes under the other orders), bits (a wide bitmap) of doc_id, text, e."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            es, s, p = [], [], []
+            es, s, p, bits = [], [], [], []
             for x, e in zip(shingle_sets([t or "" for t in b.column("text").to_pylist()]), b.column("e").to_pylist()):
                 if set_id(x) != e:
                     continue  # another row with the same doc_id
                 k = prefix_length(len(x), percent)
                 es.append(e)
+                bits.append(bits_of(x, WIDE))
                 s.append(x.tobytes())
                 p.append([np.sort(x[np.argsort(mix(x ^ o))[:k]]).tobytes() for o in ORDERS])
-            yield pa.RecordBatch.from_arrays([pa.array(es, pa.int64()), pa.array(s, pa.binary()), pa.array(p, pa.list_(pa.binary()))], ["e", "s", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(es, pa.int64()), pa.array(s, pa.binary()), pa.array(p, pa.list_(pa.binary())), pa.array(bits, pa.binary())], ["e", "s", "p", "bits"])
 
-    return docs.select("text", "e").mapInArrow(run, "e long, s binary, p array<binary>")
+    return docs.select("text", "e").mapInArrow(run, "e long, s binary, p array<binary>, bits binary")
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,7 +369,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
     rest = written(open_.join(several, "token"), "open")
     if not rest.isEmpty():
         block = shared.select("token", "e", "block")
-        again = _cells(rest.join(block, ["token", "e"])).join(reps.select("e", "n", "bits"), "e")
+        wide = reps.select("e", "n").join(sets.select("e", "bits"), "e")
+        again = _cells(rest.join(block, ["token", "e"])).join(wide, "e")
         more = _pairs(again, True, percent).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         late = written(verified(more, sets, percent), "late-links")
         if not late.isEmpty():
