@@ -11,6 +11,9 @@ Equal sets are one entity, so copies meet nowhere. To keep families of near copi
 pairs, a group of sets that share a token first gives a spanning tree of its candidates; only where
 verification leaves a group in several components are its other candidates across components verified
 too, so that no link between components is lost. Very large groups are compared in cells.
+
+All links are then within the components so found. There every two sets whose lengths let them link are
+compared exactly, in cells of bounded size that each get a set once: join_sets() gives every link.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from keyloom.llm.words import LOWER, U, mix, windows, word_hashes
 
 #: Words in a shingle; similarity as hundredths; sets of a group that are compared in one cell.
 WORDS, PERCENT, CELL = 5, 80, 4096
+#: Sets, and tokens of them, of a component that make one side of a cell where all links are found; tokens counted at once there.
+SIDE_SETS, SIDE_TOKENS, COLUMNS = 512, 1 << 21, 4096
 #: A token in more than one of FREQUENT sets goes last in the index order; at most MOST_FREQUENT such tokens are sent along.
 FREQUENT, MOST_FREQUENT = 2048, 500_000
 #: Bits for each token of the bitmaps of sets that have candidates.
@@ -344,13 +349,77 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select("text", "e").mapInArrow(run, "e long, s binary, p array<binary>, bits binary")
 
 
-def ngram_join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row.
+def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets (by number) link, by the exact intersections of all: those of side 3 with each other, those of side 1 with those of side 2."""
+    n = np.array([len(x) for x in sets], np.int64)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # tokens of one set meet nothing
+    keep = count[col] > 1
+    row, col = np.repeat(np.arange(len(sets)), n)[keep], number[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    both = np.zeros((len(left), len(right)), np.int64)
+    for s in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, [s, s + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, int(col[-1]) + 1 - s)), np.float32)
+        has[row[lo:hi], col[lo:hi] - s] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    i, j = np.nonzero(both >= least_common(n[left][:, None], n[right][None], percent))
+    i, j = left[i], right[j]
+    once = (i < j) | (side[i] != 3)
+    return i[once], j[once]
+
+
+def _links_within(joined: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a < b) between the sets of each component (node, root).
+
+    A component is one cell. A larger one has its sets in bands of length, where only sets of one band or of
+    neighbouring ones can link, and each band in parts; every two parts that can link are a cell.
+    """
+    at = joined.join(reps.select(F.col("e").alias("node"), "n"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / min(percent, 95)))))
+    size = [F.count("*").alias("c"), F.sum("n").alias("t")]
+    at = written(at, "members")
+    large = at.groupBy("root").agg(*size).filter((F.col("c") > SIDE_SETS) | (F.col("t") > SIDE_TOKENS)).select("root")
+    small = at.join(large, "root", "left_anti").select(F.col("node").alias("e"), F.col("root").alias("cell"), F.lit(3).alias("side"))
+    bands = at.join(large, "root", "left_semi").groupBy("root", "band").agg(*size)
+    bands = written(bands.select("root", "band", F.greatest(F.ceil(F.col("c") / SIDE_SETS), F.ceil(F.col("t") / SIDE_TOKENS)).cast("int").alias("parts")), "bands")
+    by = lambda name, shift: bands.select("root", (F.col("band") + shift).alias("band"), F.col("parts").alias(name))
+    x = at.join(by("parts", 0), ["root", "band"]).join(by("under", 1), ["root", "band"], "left").join(by("over", -1), ["root", "band"], "left")
+    x = x.withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+    def cells(parts: str, low, i, j, step: int, side):
+        """A set's cells with the parts of a band: of band ``low`` and that ``step`` above it, parts i and j."""
+        each = F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(0)))
+        return F.transform(F.filter(each, lambda k: k < F.coalesce(F.col(parts), F.lit(0))), lambda k: F.struct(F.xxhash64("root", low, i(k), j(k), F.lit(step)).alias("cell"), side(k).alias("side")))
+
+    own, band = F.col("i"), F.col("band")
+    same = cells("parts", band, lambda k: F.least(own, k), lambda k: F.greatest(own, k), 0, lambda k: F.when(k == own, 3).when(own < k, 1).otherwise(2))
+    over = cells("over", band, lambda k: own, lambda k: k, 1, lambda k: F.lit(1))
+    under = cells("under", band - 1, lambda k: k, lambda k: own, 1, lambda k: F.lit(2))
+    split = x.select(F.col("node").alias("e"), F.inline(F.concat(same, over, under)))
 
-    Two rows link when 100 * intersection >= percent * union of their sets; component_id is the smallest
-    doc_id that links lead to. Texts without words, and null ones, have an empty set and link with nothing. Rows
-    with equal or null ids are rows of their own, with a null id only named where no other is. Other
-    columns are ignored; an empty table gives no rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_groups(batches, "cell"):
+            e, side, s = np.asarray(b.column("e")), np.asarray(b.column("side")), b.column("s")
+            starts = _runs(np.asarray(b.column("cell")))
+            out = [(np.array([], np.int64),) * 2]
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                i, j = linked([np.frombuffer(y, U) for y in s.slice(lo, hi - lo).to_pylist()], side[lo:hi], percent)
+                out.append((e[lo + i], e[lo + j]))
+            x, y = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    groups = small.unionByName(split).join(sets.select("e", "s"), "e")
+    return groups.repartition(partitions_for(groups), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
+def join_sets(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join: its members and its links.
+
+    Members are doc_id, e, n: one row for each row, with the hash of its set (null if empty) and the set's size. Links
+    are a, b, a < b: each two different sets (by e) with 100 * intersection >= percent * union, once. Rows with equal e
+    have equal sets and link too.
     """
     d = two(docs, key, text)
     p = written(profiles(d, percent), "profiles")
@@ -375,6 +444,20 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
         late = written(verified(more, sets, percent), "late-links")
         if not late.isEmpty():
             joined = written(components(links.unionByName(late), "a", "b"), "components")
+    return p.select("doc_id", "e", "n"), written(_links_within(joined, reps, sets, percent), "all-links")
+
+
+def ngram_join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row.
+
+    Two rows link when 100 * intersection >= percent * union of their sets; component_id is the smallest
+    doc_id that links lead to. Texts without words, and null ones, have an empty set and link with nothing. Rows
+    with equal or null ids are rows of their own, with a null id only named where no other is. Other
+    columns are ignored; an empty table gives no rows.
+    """
+    p, links = join_sets(docs, percent, key, text)
+    reps = p.filter("e is not null").groupBy("e").agg(F.min("doc_id").alias("doc_id"))
+    joined = written(components(links, "a", "b"), "components")
     least = joined.join(reps.select(F.col("e").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     of = reps.select("e", "doc_id").join(joined.join(least, "root").select(F.col("node").alias("e"), "least"), "e", "left").select("e", F.coalesce("least", "doc_id").alias("component_id"))
     return p.select("doc_id", "e", "n").join(of, "e", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

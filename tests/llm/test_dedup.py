@@ -91,6 +91,27 @@ def test_ngram_join(spark, rows):
     assert ngram_join.ngram_join(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("side", [512, 7])
+def test_ngram_join_gives_every_link(spark, side, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIDE_SETS", side)
+    random.seed(5)
+    base = [[f"w{random.randrange(900)}" for _ in range(n)] for n in (40, 90, 200)]
+    rows = []
+    for i in range(120):  # near copies: many groups of 9 sets or more
+        w = list(base[i % 3])
+        for _ in range(random.choice([0, 1, 1, 2, 3])):
+            w[random.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w[: len(w) - random.randrange(8)])))
+    sets = {k: ngram_join.set_id(s) for (k, _), s in zip(rows, ngram_join.shingle_sets([t for _, t in rows]))}
+    of = dict(zip(sets.values(), ngram_join.shingle_sets([t for _, t in rows])))
+    want = {(a, b) for a in of for b in of if a < b and 100 * (n := len(set(of[a].tolist()) & set(of[b].tolist()))) >= 80 * (len(of[a]) + len(of[b]) - n)}
+    members, links = ngram_join.join_sets(frame(spark, rows))
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(want) > 3 * len(of) and len(got) == len(want) and set(got) == want
+    assert {r.doc_id: r.e for r in members.collect()} == sets
+    assert ngram_join.join_sets(frame(spark, rows).limit(0))[1].count() == 0
+
+
 def test_substring_dedup(spark, rows):
     got = {r.doc_id: tuple(r)[1:] for r in substring.dedup_substrings(frame(spark, rows)).collect()}
     assert got == brute_words(rows)
