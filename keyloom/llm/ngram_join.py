@@ -331,14 +331,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
-    """e, s (the set), p (its prefixes under the other orders), bits (a wide bitmap) of doc_id, text, e."""
+    """e, s (the set), p (its prefixes under the other orders), bits (a wide bitmap) of text, e; a null e stands for whatever the text gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             es, s, p, bits = [], [], [], []
             for x, e in zip(shingle_sets([t or "" for t in b.column("text").to_pylist()]), b.column("e").to_pylist()):
-                if set_id(x) != e:
+                own = set_id(x)
+                if own is None or e not in (None, own):
                     continue  # another row with the same doc_id
+                e = own
                 k = prefix_length(len(x), percent)
                 es.append(e)
                 bits.append(bits_of(x, WIDE))
@@ -430,7 +432,12 @@ def join_sets(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
     pairs = written(found.filter("b is not null").select("a", "b").distinct(), "candidates")
     need = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
     ids = need.join(reps.select("e", "doc_id"), "e")
-    sets = written(_sets(d.join(ids, "doc_id"), percent).dropDuplicates(["e"]), "tokens")
+    texts = _sets(d.join(ids, "doc_id"), percent)
+    unnamed = ids.filter("doc_id is null").select("e")  # sets of rows without an id only: their texts are found by the set
+    if not unnamed.isEmpty():
+        nulls = _sets(d.filter("doc_id is null").withColumn("e", F.lit(None).cast("long")), percent)
+        texts = texts.unionByName(nulls.join(unnamed, "e", "left_semi"))
+    sets = written(texts.dropDuplicates(["e"]), "tokens")
     links = written(verified(pairs, sets, percent), "links")
     joined = written(components(links, "a", "b"), "components")
     open_ = found.filter("b is null").select("token", F.col("a").alias("e")).distinct().join(joined.select(F.col("node").alias("e"), "root"), "e", "left").withColumn("comp", F.coalesce("root", "e")).drop("root")

@@ -112,6 +112,20 @@ def test_ngram_join_gives_every_link(spark, side, monkeypatch):
     assert ngram_join.join_sets(frame(spark, rows).limit(0))[1].count() == 0
 
 
+def test_ngram_join_of_rows_without_ids(spark):
+    w = [f"w{i}" for i in range(100)]
+    near = lambda *at: " ".join("x" if i in at else y for i, y in enumerate(w))
+    # 1 and 2 link only through the row without an id; those of other words link with each other.
+    rows = [(1, near(2, 10)), (None, near(10)), (2, near(10, 97, 50)), (None, "other " + near(*range(0, 100, 2))), (None, "words " + near(*range(0, 100, 2))), (None, None), (None, "")]
+    a, b, c = (set(s.tolist()) for s in ngram_join.shingle_sets([rows[0][1], rows[1][1], rows[2][1]]))
+    like = lambda x, y: len(x & y) / len(x | y)
+    assert like(a, b) >= 0.8 and like(b, c) >= 0.8 > like(a, c)
+    members, links = ngram_join.join_sets(frame(spark, rows))
+    assert links.count() == 3
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0)] * 4 + [(0, 1), (1, 1), (2, 1)]
+
+
 def test_substring_dedup(spark, rows):
     got = {r.doc_id: tuple(r)[1:] for r in substring.dedup_substrings(frame(spark, rows)).collect()}
     assert got == brute_words(rows)
