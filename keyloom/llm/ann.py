@@ -8,6 +8,8 @@ score. Candidates of all tables are merged and ranked by exact distance.
 Every row is indexed. Only W and the number of probes are fitted, on a bounded sample of rows: the fewest
 probes (a power of two) whose recall on the sample reaches the target. Buckets are joined in cells of
 bounded size, the rows of a large bucket being dealt over several, so no task holds a whole one.
+
+A query that finds fewer than k rows so is compared with all rows, exactly, in cells of the same size.
 """
 
 from __future__ import annotations
@@ -90,18 +92,24 @@ class Index:
 
 
 def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k nearest rows but its own id, by exact distance then id: (query, row numbers, distances)."""
+    """For each query its k nearest rows but its own id, of rows with one id the nearest, by exact distance then id: (query, row numbers, distances)."""
+    by = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]])) if len(ids) else by
+    single = len(first) == len(ids)
     rough = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T), 0)
     rough[own[:, None] == ids[None]] = np.inf
     for i in range(len(q)):
         r = rough[i]
-        if len(r) > k:
-            limit = np.partition(r, k - 1)[k - 1]
+        if len(first) > k:
+            limit = np.partition(r if single else np.minimum.reduceat(r[by], first), k - 1)[k - 1]
             near = np.flatnonzero(r <= limit + 1e-9 * (1 + limit)) if np.isfinite(limit) else np.flatnonzero(np.isfinite(r))
         else:
             near = np.flatnonzero(np.isfinite(r))
         d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-        best = np.lexsort((ids[near], d))[:k]
+        best = np.lexsort((ids[near], d))
+        if not single:
+            best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+        best = best[:k]
         yield i, near[best], d[best]
 
 
@@ -131,8 +139,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     A row is no candidate of a query with its id. Ties go to the smaller vec_id; repeated ids count once,
     with their nearest vector. Vectors that are null, zero or hold null or non-finite components, or that
     have another dimension than most of the sample, take no part, nor do null ids. At most ``sample_rows``
-    rows, the first by a hash of their id, fit the index; recall on them reaches ``target``. Fewer than k
-    rows are returned where fewer are found. Other columns are ignored; empty inputs give no rows.
+    rows, the first by a hash of their id, fit the index; recall on them reaches ``target``. A query whose
+    buckets hold fewer than k rows gets the k nearest of all rows; fewer are returned only where there are
+    fewer candidates. Other columns are ignored; empty inputs give no rows.
     """
     spark = vectors.sparkSession
 
@@ -180,10 +189,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], np.int64)] * 2 + [np.array([], np.float64)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    at = ["bucket", "r", "q"]
-    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(cell, "query_id long, vec_id long, score double")
+    def compared(left: DataFrame, right: DataFrame, *at: str) -> DataFrame:
+        found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(cell, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
     from pyspark.sql import Window
 
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(best: DataFrame) -> DataFrame:
+        return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = written(ranked(compared(left, right, "bucket", "r", "q")), "ann-found")
+    full = best.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = written(asked.join(full, "id", "left_anti"), "ann-short")
+    n = short.count()
+    if not n:
+        return best
+    # Rows and queries are dealt by id, so all rows with one id are in one cell with a query.
+    rs, qs = (max(1, -(-c // size)) for c, size in ((base.count(), CELL_ROWS), (n, CELL_QUERIES)))
+    left = base.select(F.pmod(F.xxhash64("id"), F.lit(rs)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("q"), "id", "v")
+    right = short.select(F.explode(F.sequence(F.lit(0), F.lit(rs - 1))).alias("r"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(qs)).cast("int").alias("q"), "id", "v")
+    return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(ranked(compared(left, right, "r", "q")))

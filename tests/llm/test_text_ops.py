@@ -225,6 +225,32 @@ def test_neighbours_reach_the_recall(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_every_query_gets_k_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 100)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 5)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = [*range(380), *[7] * 20]  # the last 20 rows repeat an id
+    x[380:] = x[7] + rng.standard_normal((20, 16)) / 1000
+    asked = [(5000 + i, (x[i] * s).tolist()) for i, s in enumerate([4, 6, 10, 50, 1000] * 6)] + [(7, (x[7] * 50).tolist())]
+    schema = "vec_id long, embedding array<double>"
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(list(zip(ids, x.tolist())), schema), spark.createDataFrame(asked, schema), 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.rank, r.score))
+    for q, v in asked:
+        d = {}
+        for i, y in zip(ids, np.sqrt(((x - np.array(v)) ** 2).sum(1))):
+            if i != q:
+                d[i] = min(y, d.get(i, np.inf))
+        assert [r for _, r, _ in got[q]] == list(range(1, 11)) and len({i for i, _, _ in got[q]}) == 10
+        assert all(abs(s - d[i]) < 1e-9 for i, _, s in got[q])
+        if np.linalg.norm(v) > 40:  # beyond all buckets: exact
+            assert [i for i, _, _ in got[q]] == sorted(d, key=lambda i: (d[i], i))[:10]
+    few = spark.createDataFrame(list(zip(ids[:4], x[:4].tolist())), schema)
+    assert {r.query_id: r["count"] for r in ann.search(few, few, 10).groupBy("query_id").count().collect()} == {i: 3 for i in range(4)}
+
+
 def test_moves_come_by_rising_score():
     rng = np.random.default_rng(8)
     s = rng.random(10)
