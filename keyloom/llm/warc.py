@@ -175,8 +175,10 @@ class Archive:
     """Reads records through the directory: bisection, one block by range, one record by range."""
 
     def __init__(self, directory: list[tuple]):
-        self.directory = sorted(directory, key=lambda x: (x[0], -1 << 63 if x[1] is None else x[1]))
+        # Blocks that start with one key stay apart by their place.
+        self.directory = sorted(directory, key=lambda x: (x[0], -1 << 63 if x[1] is None else x[1], x[2], x[3]))
         self.first = [(x[0], -1 << 63 if x[1] is None else x[1]) for x in self.directory]
+        self.at = {(x[2], x[3]): i for i, x in enumerate(self.directory)}
         self.open: dict[str, tuple] = {}
         self.blocks: dict[int, list[tuple]] = {}
 
@@ -240,10 +242,9 @@ def read_archives(directory: DataFrame) -> DataFrame:
         archive = _load(sparse)
         full: dict[str, tuple[int, str]] = {}  # of responses that revisits name
         for b in batches:
-            for key, page in zip(b.column("url_key").to_pylist(), b.column("page_id").to_pylist()):
-                i = bisect_right(archive.first, (key, -1 << 63 if page is None else page)) - 1
+            for place in zip(b.column("file").to_pylist(), b.column("start").to_pylist()):
                 rows = []
-                for _, page_id, file, start, size in archive.block(i):
+                for _, page_id, file, start, size in archive.block(archive.at[place]):
                     headers, body = archive.read(file, start, size)
                     kind, to = headers["warc-type"], None
                     if kind == "revisit":
@@ -260,5 +261,5 @@ def read_archives(directory: DataFrame) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload_ok"])
 
-    blocks = directory.select("url_key", "page_id").repartition(max(1, directory.sparkSession.sparkContext.defaultParallelism * 2))
+    blocks = directory.select("file", "start").repartition(max(1, directory.sparkSession.sparkContext.defaultParallelism * 2))
     return blocks.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload_ok boolean")

@@ -202,6 +202,15 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_index(warc.write_archives(df.limit(0)))).count() == 0
 
 
+def test_warc_blocks_of_one_key(spark):
+    rows = [(None, "http://a.org/", f"text {i}") for i in range(2000)] + [(5, "http://a.org/", "x"), (5, "http://a.org/", "x")]
+    directory = warc.write_index(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert directory.groupBy("url_key", "page_id").count().agg(F.max("count")).first()[0] > 1
+    got = [(r.page_id, r.payload_digest, r.payload_ok) for r in warc.read_archives(directory).collect()]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted([(p, warc.payload_digest(h.encode()), True) for p, _, h in rows], key=key)
+
+
 def test_neighbours_reach_the_recall(spark):
     random.seed(7)
     rng = np.random.default_rng(7)
