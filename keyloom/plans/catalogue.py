@@ -28,8 +28,9 @@ VIEWS = {
     "live_keys": f"SELECT * FROM keyspace WHERE expire_at_ms IS NULL OR expire_at_ms >= {NOW}",
     "log": "SELECT event_id AS seq, epoch_us(ts)//1000 AS ts_ms, user_id AS client_id, CASE event_id%5 WHEN 0 THEN 'SET' WHEN 3 THEN 'DEL' ELSE 'INCRBY' END AS cmd, concat('u:',user_id) AS key, CAST(round(value*100) AS BIGINT) AS v FROM events",
     "pel": "SELECT key, 'g' AS grp, id_ms, id_seq, event_id, concat('c', user_id%3) AS consumer, id_ms+5 AS delivery_ms, 1 AS delivery_count FROM kv_stream WHERE event_id%4=0",
+    "pel_whole": "SELECT key, 'g' AS grp, id_ms, id_seq, event_id, concat('c', user_id%3) AS consumer, id_ms+5 AS delivery_ms, 1 AS delivery_count FROM kv_stream",
 }
-_NEEDS = {"live_string": ["kv_string"], "zranked": ["kv_zset"], "live_keys": ["kv_string", "keyspace"], "keyspace": ["kv_string"], "pel": ["kv_stream"]}
+_NEEDS = {"live_string": ["kv_string"], "zranked": ["kv_zset"], "live_keys": ["kv_string", "keyspace"], "keyspace": ["kv_string"], "pel": ["kv_stream"], "pel_whole": ["kv_stream"]}
 _found: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
 
@@ -395,6 +396,28 @@ query("log_fold_string", "SELECT concat('u:',user_id) AS key, string_agg(substr(
 query("log_compact", "SELECT cmd, count(*) AS n FROM (SELECT 'SET' AS cmd FROM kv_string UNION ALL SELECT 'SADD' FROM (SELECT DISTINCT key, (row_number() OVER (PARTITION BY key ORDER BY member)-1)//64 AS part FROM kv_set)) GROUP BY cmd")(lambda t: fold.compact(t.strings(), t.sets()).groupBy("cmd").agg(F.count("*").alias("n")))
 query("log_fold_general", "SELECT key, count(*) AS n FROM (SELECT DISTINCT key, seq FROM log WHERE seq%2=0) GROUP BY key")(lambda t: fold.general(t.log().filter("seq % 2 = 0").select("seq", F.lit("RPUSH").alias("cmd"), "key", F.array(F.col("v").cast("string")).alias("argv"))).groupBy("key").agg(F.count("*").alias("n")))
 
+# The same operators over whole relations: every command of the log, every customer a subscriber, every log row a watch, every entry pending.
+_commands_of = lambda t: t.log().select("seq", "cmd", "key", F.when(F.col("cmd") == "DEL", F.array().cast("array<string>")).otherwise(F.array(F.col("v").cast("string"))).alias("argv"))
+_COUNTED = "SELECT key, CAST(sum(CASE WHEN cmd<>'DEL' THEN v END) AS BIGINT) AS n FROM (SELECT *, max(CASE WHEN cmd IN ('SET','DEL') THEN seq END) OVER (PARTITION BY key) AS reset FROM log) WHERE reset IS NULL OR seq>=reset GROUP BY key"
+query("log_fold_general_whole", f"SELECT key, CASE WHEN n IS NULL THEN 'none' ELSE 'string' END AS type, CAST(0 AS BIGINT) AS pos, CAST(n AS VARCHAR) AS value, CAST(0 AS BIGINT) AS errors FROM ({_COUNTED})")(lambda t: fold.general(_commands_of(t)))
+_CHANNELS = ("ev.click", "ev.view", "ev.purchase", "ev.signup", "ev.error")
+_all_subs = lambda t: t.table("customer").select(F.col("c_custkey").alias("client_id"), F.lit("channel").alias("kind"), F.element_at(F.array(*map(F.lit, _CHANNELS)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("name"))
+_ALL_SUB = "SELECT c_custkey AS client_id, CASE c_custkey%5 WHEN 0 THEN 'ev.click' WHEN 1 THEN 'ev.view' WHEN 2 THEN 'ev.purchase' WHEN 3 THEN 'ev.signup' ELSE 'ev.error' END AS name FROM customer"
+query("pubsub_publish_channel_whole", None)(lambda t: pubsub.deliver_channels(_msgs(t), _all_subs(t)).select("seq", "client_id"))
+query("pubsub_numsub_whole", f"SELECT channel, (SELECT count(DISTINCT client_id) FROM ({_ALL_SUB}) WHERE name=channel) AS n FROM (SELECT DISTINCT concat('ev.',event_type) AS channel FROM events)")(lambda t: pubsub.num_sub(_all_subs(t), _msgs(t)))
+query("pubsub_channels_whole", f"SELECT DISTINCT name AS channel FROM ({_ALL_SUB}) WHERE name LIKE 'ev.%e%'")(lambda t: pubsub.channels(_all_subs(t), "ev.*e*"))
+query("pubsub_subscribe_whole", f"SELECT DISTINCT client_id, name FROM ({_ALL_SUB})")(lambda t: pubsub.subscribe(_all_subs(t), _all_subs(t)).select("client_id", "name"))
+query("pubsub_unsubscribe_whole", f"SELECT client_id, name FROM ({_ALL_SUB}) WHERE name<>'ev.click'")(lambda t: pubsub.unsubscribe(_all_subs(t), _all_subs(t).filter("name = 'ev.click'")).select("client_id", "name"))
+_all_watch = lambda t: t.log().select("client_id", F.concat(F.lit("u:"), F.col("client_id") % 10).alias("key"), F.col("seq").alias("watch_seq"), (F.col("seq") + 30).alias("exec_seq"))
+query("txn_watch_conflict_whole", None)(lambda t: transactions.conflicts(_all_watch(t), t.log().select("seq", "client_id", "key")))
+_all_pel = lambda t: t.stream().select("key", F.lit("g").alias("grp"), "id_ms", "id_seq", F.concat(F.lit("c"), F.col("user_id") % 3).alias("consumer"), (F.col("id_ms") + 5).alias("delivery_ms"), F.lit(1).alias("delivery_count"), "event_id")
+query("stream_xack_whole", "SELECT key, id_ms, id_seq FROM pel_whole WHERE consumer<>'c1'")(lambda t: streams.ack(_all_pel(t), _all_pel(t).filter("consumer = 'c1'")).select("key", "id_ms", "id_seq"))
+query("stream_xclaim_whole", f"SELECT key, id_ms, id_seq, CASE WHEN {_CLAIM_AT}-delivery_ms>=60000 THEN 'c9' ELSE consumer END AS consumer FROM pel_whole")(lambda t: streams.claim(_all_pel(t), _all_pel(t), "c9", 60000, _CLAIM_AT).select("key", "id_ms", "id_seq", "consumer"))
+query("stream_xautoclaim_whole", f"SELECT key, id_ms, id_seq, CASE WHEN r<=9 AND idle THEN 'c9' ELSE consumer END AS consumer FROM (SELECT *, {_CLAIM_AT}-delivery_ms>=60000 AS idle, row_number() OVER (PARTITION BY key, {_CLAIM_AT}-delivery_ms>=60000 ORDER BY id_ms,id_seq) AS r FROM pel_whole)")(lambda t: streams.auto_claim(_all_pel(t), "g", "c9", 60000, _CLAIM_AT, count=9).select("key", "id_ms", "id_seq", "consumer"))
+query("stream_xpending_summary_whole", "SELECT key, grp, count(*) AS n, min(id_ms) AS lo_ms, max(id_ms) AS hi_ms, count(DISTINCT consumer) AS consumers FROM pel_whole GROUP BY key, grp")(lambda t: streams.pending_summary(_all_pel(t)))
+query("stream_xpending_consumers_whole", "SELECT key, grp, consumer, count(*) AS n FROM pel_whole GROUP BY key, grp, consumer")(lambda t: streams.pending_by_consumer(_all_pel(t)))
+query("stream_xpending_detail_whole", f"SELECT key, id_ms, id_seq, {_CLAIM_AT}-delivery_ms AS idle_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id_ms,id_seq) AS r FROM pel_whole WHERE consumer='c1' AND {_CLAIM_AT}-delivery_ms>=0) WHERE r<=10")(lambda t: streams.pending(_all_pel(t), _CLAIM_AT, 0, "c1", 10).select("key", "id_ms", "id_seq", "idle_ms"))
+
 # Cluster and scripts.
 _CRC = "list_reduce(list_prepend(0, list_transform(range(1, strlen(key)+1), lambda i: CAST(ascii(substr(key,i,1)) AS INTEGER))), lambda c, b: list_reduce(list_prepend(xor(c, b<<8), [1,1,1,1,1,1,1,1]), lambda x, y: CASE WHEN (x & 32768)<>0 THEN xor((x<<1)&65535, 4129) ELSE (x<<1)&65535 END))"
 query("cluster_keyslot", f"SELECT key, CAST({_CRC}%16384 AS INTEGER) AS slot FROM kv_string")(lambda t: cluster.key_slots(t.strings()))

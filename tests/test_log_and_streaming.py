@@ -54,6 +54,28 @@ def test_strings_and_general_fold(spark):
     assert {(r.key, r.value) for r in got if r.type == "string"} == {(k, x.strings[k]) for k, x in one.items() if k in x.strings}
 
 
+def test_whole_relations(spark):
+    from keyloom.plans import catalogue
+    from keyloom.sources.adapters import Tables
+
+    folder, run = "/root/testdata/sf0.001", catalogue.queries()
+    log = Tables(spark, folder).log().orderBy("seq").collect()
+    assert {r.cmd for r in log} == {"SET", "INCRBY", "DEL"}
+    at = fold.Interpreter()
+    for r in log:
+        assert at.apply(r.cmd, r.key, [str(r.v)]) is None
+    got = run["log_fold_general_whole"](spark, folder).collect()
+    assert {r.key: r.value for r in got} == {r.key: at.strings.get(r.key) for r in log} and len(got) == len({r.key for r in log})
+    names = ("ev.click", "ev.view", "ev.purchase", "ev.signup", "ev.error")
+    clients = [r.c_custkey for r in spark.read.parquet(f"{folder}/customer.parquet").collect()]
+    events = [(r.event_id, "ev." + r.event_type) for r in spark.read.parquet(f"{folder}/events.parquet").collect()]
+    sent = [(r.seq, r.client_id) for r in run["pubsub_publish_channel_whole"](spark, folder).collect()]
+    assert sorted(sent) == sorted((e, c) for e, name in events for c in clients if names[c % 5] == name)
+    aborted = {(w.client_id, w.seq + 30) for w in log for x in log if w.seq < x.seq < w.seq + 30 and x.client_id != w.client_id and x.key == f"u:{w.client_id % 10}"}
+    found = [tuple(r) for r in run["txn_watch_conflict_whole"](spark, folder).collect()]
+    assert aborted and len(found) == len(aborted) and set(found) == aborted
+
+
 def test_log_files(spark, tmp_path):
     commands = [["SET", "k", "a\r\nb"], ["SELECT", "3"], ["RPUSH", "l", "é", ""], ["DEL", "k"]]
     data = b"".join(resp.encode(c) for c in commands)
