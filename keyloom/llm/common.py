@@ -51,6 +51,15 @@ def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` as a table written in as many buckets of ``by`` as there are shuffle partitions: joins by it shuffle the other side only."""
+    spark, n = df.sparkSession, partitions_for(df)
+    path, table = new_folder(spark, name), f"keyloom_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, by).saveAsTable(table)
+    free(spark)
+    return spark.table(table)
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now; else they stay until the driver's heap fills."""
     gc.collect()

@@ -5,11 +5,11 @@ an anchor: the least hash among the ``k``-mers inside it, so equal windows have
 consecutive windows with one anchor is a path of windows that needs one row instead of dozens: its anchor,
 the hash of its whole content, its document and place.
 
-Paths meet by anchor. A path whose content occurs at an earlier place is repeated as a whole. Only
-where an anchor occurs with several contents must windows be compared one by one, and that is left to the
-caller: those paths are returned as open. Rows travel packed as columns of a few large values for each
-bucket of anchors, and every batch first settles the paths that repeat inside it, so a passage that very
-many documents share shrinks before it is shuffled.
+Texts are written once, in buckets of a row number, so that later steps bring their findings to the texts
+instead of shuffling texts again. Paths meet by anchor: sorted by anchor, content and place they stream by, and
+one whose content has passed before is repeated as a whole. Only where an anchor occurs with several
+contents must windows be compared one by one; those paths are returned as open. Nothing is held but
+the first path of the content that goes by and the paths that wait for a second content of their anchor.
 """
 
 from __future__ import annotations
@@ -21,15 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import partitions_for, small_batches, written
+from keyloom.llm.common import bucketed, partitions_for, small_batches, written
 from keyloom.llm.words import CHUNK, U, _tables, mix
 
-#: Documents settled together before rows are sent, buckets of anchors for each partition.
-TOGETHER, BUCKETS = 2048, 4
-#: Open paths of one anchor up to this many are compared by content in one task; those of others window by window.
-MANY = 1024
-#: Bytes of a content's hash that are sent; an anchor's 57 bits must agree besides.
-CONTENT = 6
+#: Documents settled together before rows are sent.
+TOGETHER = 2048
 I64 = np.int64
 #: Added to a path's number of windows, which is under it.
 TIED = 128
@@ -91,160 +87,126 @@ def paths(units: np.ndarray, size: int, k: int, within: bool = False) -> tuple[n
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _order(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by the last key first, and where its value is new."""
-    o = np.lexsort(keys)
-    k = keys[-1][o]
-    return o, np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+SENT = "kind int, anchor long, content long, doc_id long, row long, start long, count int"
+FOUND = "row long, start long, count int, anchor long, kind int, source_row long, source_start long"
+#: Kinds of found paths: all windows repeat an earlier one; to compare window by window.
+REPEATED, OPEN = 0, 1
 
 
-COLUMNS = (("anchor", U), ("content", U), ("doc", I64), ("start", I64), ("count", np.uint8))
-SENT = "bucket int, kind int, anchor binary, content binary, doc binary, start binary, count binary"
-FOUND = "doc_id long, start long, count long, anchor long, kind int, source long, source_start long"
-#: Kinds of found paths: all windows repeat an earlier one; to compare by content; to compare window by window.
-REPEATED, OPEN, OPEN_MANY = 0, 1, 2
+def held_texts(docs: DataFrame, key: str, text: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """row, doc_id, text and carried_... of every row, written in buckets of ``row``, a number of its own for each."""
+    own = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *[docs[c].alias(f"carried_{c}") for c in carried])
+    return bucketed(own, "row", "texts")
 
 
-def _earlier(doc: np.ndarray, start: np.ndarray, first: np.ndarray, within: bool) -> np.ndarray:
-    """Of rows sorted by group, doc, start: whether the group's first row is earlier (in another document, unless within)."""
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    return (doc != doc[lead]) | (start != start[lead]) if within else doc != doc[lead]
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    """A batch of a schema like SENT from arrays."""
+    fields = [f.split() for f in names.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k == "int" else c, kinds[k]) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
 
 
-def _planes(x: np.ndarray, keep: int = 8) -> bytes:
-    """The low ``keep`` bytes of 64-bit numbers, all first bytes, then all second ones, ...: what varies little compresses."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :keep].T.tobytes()
-
-
-def _from_planes(data: bytes, n: int, dtype: type) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
-    out[:, : len(planes)] = planes.T
-    return out.view(dtype).ravel()
-
-
-def find_paths(docs: DataFrame, hasher: Hasher, size: int, k: int, within: bool) -> DataFrame:
-    """Paths of doc_id, text that repeat an earlier one (with its place), and paths to compare further; see FOUND.
+def find_paths(texts: DataFrame, hasher: Hasher, size: int, k: int, within: bool) -> DataFrame:
+    """Paths of row, doc_id, text that repeat an earlier one (with its place), and paths to compare further; see FOUND.
 
     ``within``: an earlier place may be in the same document; else it must be in one with a smaller
-    doc_id. Rows with null ids take part in nothing. Rows that share an id are one document's parts, told
-    apart by nothing, so ids should be unique.
+    doc_id. Rows with null ids take part in nothing. Rows that share an id are documents of their own in the
+    order of their row numbers.
     """
-    buckets, together, many = BUCKETS * partitions_for(docs), TOGETHER, MANY
+    together = TOGETHER
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, together):
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            ids = b.column("doc_id").to_pylist()
-            for doc, units in zip(ids, hasher([t or "" for t in b.column("text").to_pylist()])):
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for doc, row, units in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), hasher([t or "" for t in b.column("text").to_pylist()])):
                 if doc is None or len(units) < size:
                     continue
                 a, c, s, n = paths(units, size, k, within)
-                for col, x in zip(cols, (a, c, np.full(len(a), doc, I64), s, n.astype(np.uint8))):
+                for col, x in zip(cols, (a.view(I64), c.view(I64), np.full(len(a), doc, I64), np.full(len(a), row, I64), s, n)):
                     col.append(x)
             if not cols[0]:
                 continue
-            a, c, d, s, n = (np.concatenate(x) for x in cols)
-            o, _ = _order(s, d, c, a)
-            a, c, d, s, n = a[o], c[o], d[o], s[o], n[o]
+            a, c, d, r, s, n = (np.concatenate(x) for x in cols)
+            o = np.lexsort((s, r, d, c, a))
+            a, c, d, r, s, n = a[o], c[o], d[o], r[o], s[o], n[o]
             first = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-            settled = _earlier(d, s, first, within)
             lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            rows = []
-            if settled.any():
-                # The content column carries the earlier place's document, the anchor column its start.
-                rows.append((int(d[0] % buckets), REPEATED, s[lead][settled].astype(U), d[lead][settled].view(U), d[settled], s[settled], n[settled] & (TIED - 1)))
-            a, c, d, s, n = (x[~settled] for x in (a, c, d, s, n))
-            to = (a % U(buckets)).astype(np.int32)
-            o = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[o], np.arange(buckets + 1))
-            for i in np.flatnonzero(np.diff(cuts)).tolist():
-                x = o[cuts[i] : cuts[i + 1]]
-                x = x[np.lexsort((s[x], d[x]))]
-                rows.append((i, OPEN, a[x], c[x], d[x], s[x], n[x]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([_planes(r[j], CONTENT if j == 3 and r[1] == OPEN else 8) for r in rows], pa.binary()) for j in range(2, 6)), pa.array([r[6].tobytes() for r in rows], pa.binary())],
-                ["bucket", "kind", "anchor", "content", "doc", "start", "count"],
-            )
+            settled = ~first if within else d != d[lead]
+            # Of a settled path the content column carries the earlier place's row, the anchor column its start.
+            a, c = np.where(settled, s[lead], a), np.where(settled, r[lead], c)
+            yield _batch(SENT, np.where(settled, REPEATED, OPEN), a, c, d, r, s, np.where(settled, n & (TIED - 1), n))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[np.ndarray]]] = {}
-        done: list[int] = []
-
-        def result(d, s, n, a, kind, source, source_start) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(s), pa.array(n.astype(I64)), pa.array(a.astype(U).view(I64)), pa.array(np.broadcast_to(np.int32(kind), len(d)) if np.isscalar(kind) else kind.astype(np.int32)), pa.array(source), pa.array(source_start)],
-                ["doc_id", "start", "count", "anchor", "kind", "source", "source_start"],
-            )
-
-        def close(bucket: int) -> pa.RecordBatch:
-            a, c, d, s, n = (np.concatenate(x) for x in held.pop(bucket))
-            o, _ = _order(s, d, c, a)
-            a, c, d, s, n = a[o], c[o], d[o], s[o], n[o]
-            group = np.concatenate([[True], a[1:] != a[:-1]])
-            first = group | np.concatenate([[True], c[1:] != c[:-1]])
-            repeated = _earlier(d, s, first, within)
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            g = np.cumsum(group) - 1
-            contents = np.bincount(g, weights=first)[g]
-            open_ = ~repeated & ((contents > 1) | (n >= TIED))
+        # Of the anchor and content that go on: the place of the first path, whether the anchor has several contents, and its paths that wait.
+        last: tuple[int, int, tuple[int, int, int], bool] | None = None
+        waiting: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            kind, *cols = (np.asarray(b.column(x)) for x in ("kind", "anchor", "content", "doc_id", "row", "start", "count"))
+            done = kind == REPEATED
+            if done.any():
+                a, c, _, r, s, n = (x[done] for x in cols)
+                yield _batch(FOUND, r, s, n, np.zeros(len(r), I64), np.zeros(len(r)), c, a)
+            a, c, d, r, s, n = (x[~done] for x in cols)
+            if not len(a):
+                continue
+            goes_on = last is not None and a[0] == last[0]
+            new_anchor = np.concatenate([[not goes_on], a[1:] != a[:-1]])
+            new = new_anchor | np.concatenate([[not (goes_on and c[0] == last[1])], c[1:] != c[:-1]])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+            before = last[2] if last else (0, 0, 0)
+            ld, lr, ls = (np.where(lead >= 0, x[lead], y) for x, y in zip((d, r, s), before))
+            repeated = ~new if within else ~new & (d != ld)
+            group = np.cumsum(new_anchor)
+            contents = np.bincount(group, weights=new)
+            if goes_on:
+                contents[0] += 1 + last[3]
+                if contents[0] > 1:
+                    yield from (_batch(FOUND, *x) for x in waiting)
+            if not goes_on or contents[0] > 1 or group[-1] > 0:
+                waiting.clear()
+            open_ = ~repeated & ((contents[group] > 1) | (n >= TIED))
+            wait = ~repeated & ~open_ & (group == group[-1])
             n = n & (TIED - 1)
-            kind = np.where(repeated, REPEATED, np.where(contents > many, OPEN_MANY, OPEN))
+            if wait.any():
+                waiting.append((r[wait], s[wait], n[wait], a[wait], np.full(int(wait.sum()), OPEN), r[wait], s[wait]))
+            last = int(a[-1]), int(c[-1]), (int(ld[-1]), int(lr[-1]), int(ls[-1])), bool(contents[group[-1]] > 1)
             keep = repeated | open_
-            return result(d[keep], s[keep], n[keep], a[keep], kind[keep], d[lead][keep], s[lead][keep])
-
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("bucket", "kind", "anchor", "content", "doc", "start", "count")]
-            for bucket, kind, *packed in zip(*cols):
-                n = len(packed[4])
-                x = [*(_from_planes(p, n, t) for p, (_, t) in zip(packed[:4], COLUMNS)), np.frombuffer(packed[4], np.uint8)]
-                if kind == REPEATED:
-                    yield result(x[2], x[3], x[4], x[0] * U(0), REPEATED, x[1].view(I64), x[0].view(I64))
-                    continue
-                if bucket not in held:
-                    for other in done:  # sorted by bucket: earlier ones are whole
-                        if other in held:
-                            yield close(other)
-                    done[:] = [bucket]
-                    held[bucket] = [[], [], [], [], []]
-                for col, y in zip(held[bucket], x):
-                    col.append(y)
-        for other in list(held):
-            yield close(other)
+            yield _batch(FOUND, r[keep], s[keep], n[keep], a[keep], np.where(repeated, REPEATED, OPEN)[keep], lr[keep], ls[keep])
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, SENT)
-    return written(sent.repartition(partitions_for(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(settle, FOUND), "paths")
+    sent = texts.select("row", "doc_id", "text").mapInArrow(send, SENT)
+    # Settled paths go anywhere.
+    sent = sent.repartition(partitions_for(texts), F.when(F.col("kind") == OPEN, F.col("anchor")).otherwise(F.col("row")))
+    return written(sent.sortWithinPartitions("kind", "anchor", "content", "doc_id", "row", "start").mapInArrow(settle, FOUND), "paths")
 
 
-def open_windows(docs: DataFrame, found: DataFrame, hasher: Hasher, size: int, kind: int, within: bool) -> DataFrame:
-    """doc_id, start of each window of the open paths of a kind that starts earlier too, compared by hash.
+def open_windows(texts: DataFrame, found: DataFrame, hasher: Hasher, size: int) -> DataFrame:
+    """row, start, source_row, source_start of each window of the open paths that starts in a smaller document too.
 
     Two hashes must agree, the anchor and the window's; equal windows meet by a pre-aggregated minimum.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            opens = b.column("opens").to_pylist()
-            for doc, units, rows in zip(b.column("doc_id").to_pylist(), hasher([t or "" for t in b.column("text").to_pylist()]), opens):
-                for r in rows:
-                    part = units[r["start"] : r["start"] + r["count"] + size - 1]
-                    h = Sums(part).all(size)
-                    for col, x in zip(out, (np.full(len(h), r["anchor"], I64), h.view(I64), np.full(len(h), doc, I64), r["start"] + np.arange(len(h)))):
-                        col.append(x)
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols = (b.column("doc_id").to_pylist(), b.column("row").to_pylist(), hasher([t or "" for t in b.column("text").to_pylist()]), b.column("opens").to_pylist())
+            for doc, row, units, rows in zip(*cols):
+                for x in rows:
+                    h = Sums(units[x["start"] : x["start"] + x["count"] + size - 1]).all(size)
+                    for col, y in zip(out, (np.full(len(h), x["anchor"], I64), h.view(I64), np.full(len(h), doc, I64), np.full(len(h), row, I64), x["start"] + np.arange(len(h)))):
+                        col.append(y)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["anchor", "h", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["anchor", "h", "doc_id", "row", "start"])
 
-    w = written(with_rows(docs, found.filter(F.col("kind") == kind), "opens", ["start", "count", "anchor"], "inner").mapInArrow(explode, "anchor long, h long, doc_id long, start long"), "windows")
-    first = w.groupBy("anchor", "h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = (F.col("doc_id") != F.col("first.doc_id")) | ((F.col("start") != F.col("first.start")) if within else F.lit(False))
-    return w.join(first, ["anchor", "h"]).filter(later).select("doc_id", "start", F.lit(1).cast("long").alias("count"), F.col("first.doc_id").alias("source"), F.col("first.start").alias("source_start"))
+    opens = with_rows(texts.select("row", "doc_id", "text"), found.filter(F.col("kind") == OPEN), "opens", ["start", "count", "anchor"], "inner")
+    w = written(opens.mapInArrow(explode, "anchor long, h long, doc_id long, row long, start long"), "windows")
+    first = w.groupBy("anchor", "h").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.max("doc_id").alias("last")).filter("last > first.doc_id")
+    return w.join(first, ["anchor", "h"]).filter("doc_id > first.doc_id").select("row", "start", F.col("first.row").alias("source_row"), F.col("first.start").alias("source_start"))
 
 
-def with_rows(docs: DataFrame, rows: DataFrame, name: str, columns: list[str], how: str = "left") -> DataFrame:
-    """Each document with its rows as an array of structs. Only what was found is gathered, by document."""
-    mine = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias(name))
-    return docs.join(mine.hint("shuffle_hash"), "doc_id", how)
+def with_rows(texts: DataFrame, rows: DataFrame, name: str, columns: list[str], how: str = "left") -> DataFrame:
+    """Each text with its rows as an array of structs. Only what was found is shuffled; texts lie in buckets."""
+    mine = rows.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias(name))
+    return texts.join(mine.hint("shuffle_hash"), "row", how)
 
 
 def covered(n: int, rows: list[dict] | None, size: int) -> np.ndarray:

@@ -133,24 +133,51 @@ def test_substring_dedup(spark, rows):
 
 
 def test_spans_name_their_source(spark, rows):
-    texts = dict(rows)
-    d = frame(spark, rows).select("doc_id", "text")
-    spans = substring.repeated_spans(substring.repeated_paths(d)).collect()
-    assert spans
+    held = repeats.held_texts(frame(spark, rows), "doc_id", "text")
+    texts = {r.row: (r.doc_id, (r.text or "").split()) for r in held.collect()}
+    edges, spans = substring.repeated_edges(held).count(), substring.repeated_spans(held).collect()
+    assert 0 < len(spans) < edges / 2
     for s in spans:
-        mine, source = texts[s.doc_id].split(), texts[s.source].split()
-        assert s.source < s.doc_id and mine[s.start : s.start + s.n_words] == source[s.source_start : s.source_start + s.n_words]
+        (doc, mine), (source, words) = texts[s.row], texts[s.source_row]
+        n = s.windows + substring.SIZE - 1
+        assert source < doc and mine[s.start : s.start + n] == words[s.source_start : s.source_start + n]
+        assert bytes(s.digest) == substring.digest([w.encode() for w in words], s.source_start, n)
 
 
-@pytest.mark.parametrize("many", [1024, 1])
-def test_suffix_dedup(spark, rows, many, monkeypatch):
-    monkeypatch.setattr(repeats, "MANY", many)
+@pytest.mark.parametrize("split, block", [(4096, 8192), (1, 3), (16, 1)])
+def test_suffix_dedup(spark, rows, split, block, monkeypatch):
+    monkeypatch.setattr(suffix, "SPLIT", split)
+    monkeypatch.setattr(suffix, "BLOCK", block)
     monkeypatch.setattr(repeats, "TOGETHER", 16)
     out = suffix.dedup_suffixes(frame(spark, rows), carried=("n",)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == brute_bytes(rows)
     assert {r.n for r in out} == {"clash"}
 
 
+def test_suffix_dedup_of_an_anchor_with_thousands_of_contents(spark):
+    random.seed(21)
+    passage = "".join(random.choice("abcdefghij ") for _ in range(120))
+    rows = [(i, "".join(random.choice("klmnop") for _ in range(random.randrange(90))) + passage + "".join(random.choice("qrst") for _ in range(random.randrange(90)))) for i in range(5000)]
+    out = suffix.dedup_suffixes(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == brute_bytes(rows)
+
+
+def test_dedup_of_rows_that_share_an_id(spark):
+    random.seed(22)
+    words = lambda n: " ".join(f"v{random.randrange(10**6)}" for _ in range(n))
+    p = words(60)
+    for other in (words(5), words(300)):
+        rows = [(1, p), (7, words(100) + " " + p), (7, other), (None, p), (None, p), (7, words(10) + " " + p)]
+        got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.dedup_substrings(frame(spark, rows)).collect())
+        assert got == sorted((k or 0, len(t.split()), 60 if k == 7 and p in t else 0) for k, t in rows)
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.dedup_suffixes(frame(spark, rows)).collect())
+        want = [(k or 0, len(t), len(p) + 1 if k == 7 and p in t else 0, int(k == 7 and p in t)) for k, t in rows]
+        assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and all(a[3] == b[3] and 0 <= a[2] - b[2] + 1 <= 3 for a, b in zip(got, sorted(want)))
+        same = [(3, p), (3, p)]
+        assert sorted(r.n_removed for r in suffix.dedup_suffixes(frame(spark, same)).collect()) == [0, len(p)]
+        assert [r.n_removed for r in substring.dedup_substrings(frame(spark, same)).collect()] == [0, 0]
+
+
 def test_deep_shallow_order():
     random.seed(12)
     text = bytes(random.choice(b"ab") for _ in range(2000)) + b"abc" * 150 + bytes(100)
