@@ -5,8 +5,8 @@ and then perturbed ones in estimated success order: each function's hash may mov
 at a score that is the squared distance to that side's border, and sets of moves are taken by rising total
 score. Candidates of all tables are merged and ranked by exact distance.
 
-Every row is indexed. Only W and the number of probes are fitted, on a bounded sample of rows: the fewest
-probes (a power of two) whose recall on the sample reaches the target. Buckets are joined in cells of
+Every row is indexed. The number of functions, W and the number of probes are fitted, on a bounded sample of rows: those
+whose recall on the sample reaches the target with the least work. Buckets are joined in cells of
 bounded size, the rows of a large bucket being dealt over several, so no task holds a whole one.
 
 A query that finds fewer than k rows so is compared with all rows, exactly, in cells of the same size.
@@ -26,6 +26,8 @@ from keyloom.llm.common import written
 
 #: Rows (and queries) of a bucket that meet in one cell.
 CELL_ROWS, CELL_QUERIES = 8192, 1024
+#: Buckets of a table that a query visits at most; queries that visit fewer than k rows are compared with all.
+PROBES = 256
 
 
 def valid(c: Column) -> Column:
@@ -67,7 +69,9 @@ class Index:
 
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and positions in their cells (0 to 1): arrays of row, table, function."""
-        p = ((x @ self.a + self.b) / self.width).reshape(len(x), self.tables, self.functions)
+        with np.errstate(over="ignore", invalid="ignore"):
+            p = ((x @ self.a + self.b) / self.width).reshape(len(x), self.tables, self.functions)
+            p = np.clip(np.nan_to_num(p), -(2.0**52), 2.0**52)  # what lies beyond meets in the last bucket
         h = np.floor(p)
         return h.astype(np.int64), p - h
 
@@ -76,8 +80,8 @@ class Index:
         with np.errstate(over="ignore"):
             return (hashes * self.mix).sum(axis=-1) + np.arange(self.tables)
 
-    def probed(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each query the distinct keys of the buckets to visit."""
+    def probed(self, x: np.ndarray, flat: bool = True) -> list:
+        """For each query the distinct keys of the buckets to visit, or else those of each table in order."""
         hashes, place = self.places(x)
         out = []
         with np.errstate(over="ignore"):
@@ -86,8 +90,8 @@ class Index:
                 for t in range(self.tables):
                     step = np.concatenate([-self.mix[t], self.mix[t]])
                     scores = np.concatenate([p[t] ** 2, (1 - p[t]) ** 2])
-                    keys += [own[t] + step[m].sum() for m in moves(scores, self.probes)]
-                out.append(np.unique(np.array(keys, np.int64)))
+                    keys.append(np.array([own[t] + step[m].sum() for m in moves(scores, self.probes)], np.int64))
+                out.append(np.unique(np.concatenate(keys)) if flat else keys)
         return out
 
 
@@ -96,16 +100,24 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: i
     by = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]])) if len(ids) else by
     single = len(first) == len(ids)
-    rough = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T), 0)
-    rough[own[:, None] == ids[None]] = np.inf
+    if not len(ids):
+        return
+    # Squares about a middle row; what rounding can add to or take from them bounds which rows can be among the k nearest.
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = x[len(x) // 2]
+        u, w = q - middle, x - middle
+        uu, ww = (u * u).sum(1)[:, None], (w * w).sum(1)[None]
+        rough = uu + ww - 2 * (u @ w.T)
+        slack = 4 * (q.shape[1] + 8) * np.finfo(np.float64).eps * (uu + ww)
+        slack += 8 * np.finfo(np.float64).eps * (np.abs(middle) ** 2).sum()
+    low, high = np.where(np.isfinite(rough), rough - slack, 0), np.where(np.isfinite(rough), rough + slack, np.inf)
+    low[own[:, None] == ids[None]] = high[own[:, None] == ids[None]] = np.inf
     for i in range(len(q)):
-        r = rough[i]
+        near = np.flatnonzero(own[i] != ids)
         if len(first) > k:
-            limit = np.partition(r if single else np.minimum.reduceat(r[by], first), k - 1)[k - 1]
-            near = np.flatnonzero(r <= limit + 1e-9 * (1 + limit)) if np.isfinite(limit) else np.flatnonzero(np.isfinite(r))
-        else:
-            near = np.flatnonzero(np.isfinite(r))
-        d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+            limit = np.partition(high[i] if single else np.minimum.reduceat(high[i][by], first), k - 1)[k - 1]
+            near = near[low[i][near] <= limit]
+        d = distances(q[i], x[near])
         best = np.lexsort((ids[near], d))
         if not single:
             best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
@@ -113,23 +125,69 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: i
         yield i, near[best], d[best]
 
 
-def fit(sample: np.ndarray, k: int, tables: int = 4, functions: int = 5, target: float = 0.96, seed: int = 7) -> Index:
-    """W from the sample's spread, and the fewest probes that reach the target recall on it."""
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances; components whose squares overflow or vanish are scaled first."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        apart = x - q
+        d = np.sqrt((apart * apart).sum(1))
+        far = ~((d > 1e-150) & (d < 1e150)) & (apart != 0).any(1)
+        if far.any():
+            scale = np.abs(apart[far]).max(1)
+            d[far] = scale * np.sqrt(((apart[far] / scale[:, None]) ** 2).sum(1))
+    return d
+
+
+def fit(sample: np.ndarray, k: int, rows: int | None = None, tables: int = 4, target: float = 0.96, seed: int = 7) -> Index:
+    """Functions, W and probes that reach the target recall on the sample and compare the fewest of ``rows`` rows.
+
+    A table may have from 4 up to about log2(rows) functions, W be from 0.9 to 1.8 times the sample's spread, and the
+    probes of a table any power of two up to PROBES; what misses the target isn't tried with more functions. Of settings that reach the target the one that visits the least
+    share of the sample is taken, a quarter of a row being charged for each probe; where none does, the one nearest to it.
+    ``share`` and ``recall`` of the index tell what the sample gave.
+    """
     dim = sample.shape[1] if len(sample) else 1
-    spread = float(np.sqrt(sample.var(axis=0).sum())) if len(sample) else 1.0
-    index = Index(dim, tables, functions, max(1.8 * spread, 1e-9), 3**functions, seed)
+    scale = float(np.abs(sample).max()) if len(sample) else 1.0
+    spread = scale * float(np.sqrt((sample / scale).var(axis=0).sum())) if scale > 0 else 1.0
     asked = np.arange(0, len(sample), max(1, len(sample) // 64))
-    true = {i: set(rows.tolist()) for i, rows, _ in nearest(sample[asked], sample, np.arange(len(sample)), asked, k)} if len(sample) else {}
-    held = index.keys(index.places(sample)[0]) if len(sample) else None
-    index.probes = 1
-    while index.probes < 3**functions and any(true.values()):
-        found = total = 0
-        for i, keys in enumerate(index.probed(sample[asked])):
-            total += len(true[i])
-            found += sum(bool(np.isin(held[j], keys).any()) for j in true[i])
-        if found >= target * total:
+    true = {i: near for i, near, _ in nearest(sample[asked], sample, np.arange(len(sample)), asked, k)} if len(sample) else {}
+    rows = max(rows or len(sample), 16)
+    best = None
+    for functions in range(4, max(4, min(16, int(np.log2(rows)))) + 1, 2):
+        reached = False
+        for width in (1.8, 1.3, 0.9):
+            index = Index(dim, tables, functions, max(width * spread, 1e-300), min(PROBES, 3**functions), seed)
+            if not any(len(x) for x in true.values()):
+                return index
+            held = index.keys(index.places(sample)[0])
+            probed = index.probed(sample[asked], flat=False)  # query, table, probe: in visiting order
+            at = np.full((len(asked), len(sample)), index.probes)  # how many probes it takes to meet each row
+            for i, keys in enumerate(probed):
+                for t in range(tables):
+                    order = np.argsort(keys[t], kind="stable")
+                    found = np.searchsorted(keys[t], held[:, t], sorter=order)
+                    found = order[np.minimum(found, len(order) - 1)]
+                    at[i] = np.where(keys[t][found] == held[:, t], np.minimum(at[i], found), at[i])
+            probes = 1
+            while True:
+                recall = np.mean([(at[i][near] < probes).mean() for i, near in true.items() if len(near)])
+                share = float((at < probes).mean())
+                cost = share + 0.25 * tables * probes / rows
+                key = (max(0.0, target - recall), cost)
+                if best is None or key < best[0]:
+                    best = key, (functions, width, probes, float(recall), share)
+                if recall >= target or probes >= index.probes:
+                    break
+                probes = min(2 * probes, index.probes)
+            reached |= recall >= target
+            if recall < target:
+                break
+        if not reached:
             break
-        index.probes *= 2
+    if best is None:
+        return Index(dim, tables, 4, 1.0, 1, seed)
+    functions, width, probes, recall, share = best[1]
+    index = Index(dim, tables, functions, max(width * spread, 1e-300), probes, seed)
+    index.recall, index.share = recall, share
     return index
 
 
@@ -152,7 +210,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     rows = [r.v for r in base.select("v", "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]
     dims = [len(v) for v in rows]
     dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 1
-    index = fit(np.array([v for v in rows if len(v) == dim]).reshape(-1, dim), k, target=target)
+    index = fit(np.array([v for v in rows if len(v) == dim]).reshape(-1, dim), k, base.count(), target=target)
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
 
     def matrix(b: pa.RecordBatch | pa.Table) -> np.ndarray:

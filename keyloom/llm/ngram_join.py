@@ -13,7 +13,8 @@ verification leaves a group in several components are its other candidates acros
 too, so that no link between components is lost. Very large groups are compared in cells.
 
 All links are then within the components so found. There every two sets whose lengths let them link are
-compared exactly, in cells of bounded size that each get a set once: join_sets() gives every link.
+compared exactly, in cells of bounded size that each get a set once: ngram_join() counts each document's
+links, and join_sets() lists every link.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from keyloom.llm.words import LOWER, U, mix, windows, word_hashes
 #: Words in a shingle; similarity as hundredths; sets of a group that are compared in one cell.
 WORDS, PERCENT, CELL = 5, 80, 4096
 #: Sets, and tokens of them, of a component that make one side of a cell where all links are found; tokens counted at once there.
-SIDE_SETS, SIDE_TOKENS, COLUMNS = 512, 1 << 21, 4096
+SIDE_SETS, SIDE_TOKENS, COLUMNS = 1024, 1 << 21, 2048
 #: A token in more than one of FREQUENT sets goes last in the index order; at most MOST_FREQUENT such tokens are sent along.
 FREQUENT, MOST_FREQUENT = 2048, 500_000
 #: Bits for each token of the bitmaps of sets that have candidates.
@@ -373,10 +374,10 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
     return i[once], j[once]
 
 
-def _links_within(joined: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a < b) between the sets of each component (node, root).
+def _links_within(joined: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, listed: bool) -> DataFrame:
+    """All links between the sets of each component (node, root): listed as a < b, or else counted as e, n_links, n_sets.
 
-    A component is one cell. A larger one has its sets in bands of length, where only sets of one band or of
+    n_links counts the rows whose sets a set links with, n_sets the sets, each other one. A component is one cell. A larger one has its sets in bands of length, where only sets of one band or of
     neighbouring ones can link, and each band in parts; every two parts that can link are a cell.
     """
     at = joined.join(reps.select(F.col("e").alias("node"), "n"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / min(percent, 95)))))
@@ -401,6 +402,18 @@ def _links_within(joined: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     under = cells("under", band - 1, lambda k: k, lambda k: own, 1, lambda k: F.lit(2))
     split = x.select(F.col("node").alias("e"), F.inline(F.concat(same, over, under)))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_groups(batches, "cell"):
+            side, copies, s = np.asarray(b.column("side")), np.asarray(b.column("copies")), b.column("s")
+            links, near = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            starts = _runs(np.asarray(b.column("cell")))
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                i, j = linked([np.frombuffer(y, U) for y in s.slice(lo, hi - lo).to_pylist()], side[lo:hi], percent)
+                for x, y in ((lo + i, lo + j), (lo + j, lo + i)):
+                    np.add.at(links, x, copies[y])
+                    np.add.at(near, x, 1)
+            yield pa.RecordBatch.from_arrays([b.column("e"), pa.array(links), pa.array(near)], ["e", "n_links", "n_sets"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_groups(batches, "cell"):
             e, side, s = np.asarray(b.column("e")), np.asarray(b.column("side")), b.column("s")
@@ -412,20 +425,17 @@ def _links_within(joined: DataFrame, reps: DataFrame, sets: DataFrame, percent:
             x, y = (np.concatenate(c) for c in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    groups = small.unionByName(split).join(sets.select("e", "s"), "e")
-    return groups.repartition(partitions_for(groups), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    groups = small.unionByName(split).join(sets.select("e", "s"), "e").join(reps.select("e", "copies"), "e")
+    groups = groups.repartition(partitions_for(groups), "cell").sortWithinPartitions("cell")
+    if listed:
+        return groups.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(count, "e long, n_links long, n_sets long").groupBy("e").agg(F.sum("n_links").alias("n_links"), F.sum("n_sets").alias("n_sets"))
 
 
-def join_sets(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The join: its members and its links.
-
-    Members are doc_id, e, n: one row for each row, with the hash of its set (null if empty) and the set's size. Links
-    are a, b, a < b: each two different sets (by e) with 100 * intersection >= percent * union, once. Rows with equal e
-    have equal sets and link too.
-    """
-    d = two(docs, key, text)
+def _joined(d: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of doc_id, text: profiles of the rows; the different sets; those with links, by node and root of their component; the sets' tokens."""
     p = written(profiles(d, percent), "profiles")
-    reps = written(p.filter("e is not null").groupBy("e").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    reps = written(p.filter("e is not null").groupBy("e").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "sets")
     shared = written(shared_tokens(p.filter("e is not null").select("e", F.explode("prefix").alias("token"))), "shared")
     groups = _cells(shared).join(reps.select("e", "n", "bits"), "e")
     found = written(_pairs(groups, False, percent), "pairs")
@@ -451,20 +461,35 @@ def join_sets(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
         late = written(verified(more, sets, percent), "late-links")
         if not late.isEmpty():
             joined = written(components(links.unionByName(late), "a", "b"), "components")
-    return p.select("doc_id", "e", "n"), written(_links_within(joined, reps, sets, percent), "all-links")
+    return p, reps, joined, sets
 
 
-def ngram_join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row.
+def join_sets(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join: its members and its links.
+
+    Members are doc_id, e, n: one row for each row, with the hash of its set (null if empty) and the set's size. Links
+    are a, b, a < b: each two different sets (by e) with 100 * intersection >= percent * union, once. Rows with equal e
+    have equal sets and link too.
+    """
+    p, reps, joined, sets = _joined(two(docs, key, text), percent)
+    return p.select("doc_id", "e", "n"), written(_links_within(joined, reps, sets, percent, True), "all-links")
+
+
+def ngram_join(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, unless it isn't wanted, n_links: one row for each row.
 
     Two rows link when 100 * intersection >= percent * union of their sets; component_id is the smallest
-    doc_id that links lead to. Texts without words, and null ones, have an empty set and link with nothing. Rows
-    with equal or null ids are rows of their own, with a null id only named where no other is. Other
-    columns are ignored; an empty table gives no rows.
+    doc_id that links lead to, n_links the number of other rows that a row links with. Texts without words, and
+    null ones, have an empty set and link with nothing. Rows with equal or null ids are rows of their own,
+    with a null id only named where no other is. Other columns are ignored; an empty table gives no rows.
     """
-    p, links = join_sets(docs, percent, key, text)
-    reps = p.filter("e is not null").groupBy("e").agg(F.min("doc_id").alias("doc_id"))
-    joined = written(components(links, "a", "b"), "components")
-    least = joined.join(reps.select(F.col("e").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
-    of = reps.select("e", "doc_id").join(joined.join(least, "root").select(F.col("node").alias("e"), "least"), "e", "left").select("e", F.coalesce("least", "doc_id").alias("component_id"))
-    return p.select("doc_id", "e", "n").join(of, "e", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    p, reps, joined, sets = _joined(two(docs, key, text), percent)
+    ids = reps.select(F.col("e").alias("node"), "doc_id")
+    least = joined.join(ids, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
+    of = reps.select("e", "doc_id", "copies").join(joined.join(least, "root").select(F.col("node").alias("e"), "least"), "e", "left")
+    links = []
+    if counted:
+        of = of.join(_links_within(joined, reps, sets, percent, False), "e", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+        links = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    of = written(of.select("e", F.coalesce("least", "doc_id").alias("component_id"), *(["n_links"] if counted else [])), "found")
+    return p.select("doc_id", "e", "n").join(of, "e", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *links)

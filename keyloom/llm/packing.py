@@ -11,8 +11,8 @@ window, if not full, is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
-import base64
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,14 +40,30 @@ def rank_table(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in piece): i for piece, i in made["model"]["vocab"].items() if piece not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which are found in texts before anything else, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f).get("added_tokens", ())
+    for x in made:
+        if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]:
+            raise ValueError(f"an added token with conditions: {x['content']}")
+    return {x["content"]: x["id"] for x in made}
+
+
 class WordCache(dict):
-    """Packed ids of texts by a byte-level tokenizer whose pre-tokens start at single spaces; keys are words."""
+    """Packed ids of texts by a byte-level tokenizer whose pre-tokens start at single spaces; keys are words.
+
+    As the tokenizer's library does unless told otherwise, the strings of added tokens in a text give those tokens; with
+    ``ordinary`` they are text like any other.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, ordinary: bool = False):
         import tiktoken
 
         super().__init__()
         self.make = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=rank_table(path), special_tokens={})
+        self.added = {} if ordinary else {k: v.to_bytes(4, "little") for k, v in added_tokens(path).items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def pack(self, text: str) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in self.make.encode_ordinary(text)])
@@ -63,6 +79,9 @@ class WordCache(dict):
     def encode(self, text: str) -> bytes:
         from keyloom.llm.bpe import LOOSE
 
+        if any(mark in text for mark in self.added):
+            parts = self.marks.split(text)
+            return b"".join([self.added[x] if i % 2 else self.pack(x) for i, x in enumerate(parts)])
         if LOOSE(text):
             return self.pack(text)
         start, *rest = text.split(" ")

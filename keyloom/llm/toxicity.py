@@ -27,6 +27,8 @@ STEM, SAMPLE_ROWS, PRECISION = (4, 12), 4000, 0.8
 #: Terms met in clean texts too count for less below this precision, so that one alone decides nothing.
 SURE, HINT = 0.95, 0.35
 WORD = re.compile(r"[^\W_][\w@$]*")
+#: Words whose lookups a worker keeps, and the longest of them.
+KEPT_WORDS, KEPT_LENGTH = 400_000, 40
 #: Characters that stand for letters inside words.
 LEET = str.maketrans("013457@$", "oieastas")
 QUOTES = "\"'“”„«»‘’`"
@@ -56,7 +58,8 @@ def automaton(word: str, trie: Trie, edits: int = 1) -> tuple[str, int] | None:
     """The term nearest to ``word`` within ``edits``, and its distance; ties to the longer, then the first in order.
 
     A state is a row of the edit table: the distances of the trie path to every prefix of the word. A
-    branch is left when no entry is within ``edits``. An open term may stop at any prefix, but only exactly.
+    branch is left when no entry is within ``edits``. An open term may stop at any prefix of the word,
+    but must begin with its letter: stems are short, and with that too open other words come near them.
     """
     best: tuple[int, int, str] | None = None
     start = tuple(range(len(word) + 1))
@@ -66,7 +69,7 @@ def automaton(word: str, trie: Trie, edits: int = 1) -> tuple[str, int] | None:
         end = trie.ends[node]
         if end:
             term, is_open = end
-            d = row[-1] if not is_open else 0 if word.startswith(term) else edits + 1
+            d = row[-1] if not is_open else min(row) if word[:1] == term[:1] else edits + 1
             if d <= edits and (d == 0 or len(term) > 4):
                 best = min(best or (d, -len(term), term), (d, -len(term), term))
         for ch, child in trie.children[node].items():
@@ -92,46 +95,47 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.trie = Trie({t: o for t, (o, _) in self.terms.items()})
-        self.stems = frozenset(t for t, (is_open, _) in self.terms.items() if is_open)
-        self.stem_lengths = sorted({len(t) for t in self.stems})
-        # One edit (or swap) leaves so many first or last letters of a term as they were.
-        heads, tails = set(), set()
-        by_length = defaultdict(lambda: (set(), set()))
+        # One edit (or swap) leaves the first or the last half of a term's letters as they were; those of a stem may
+        # then lie one to either side of their place.
+        self.heads: dict[int, set[str]] = defaultdict(set)
+        self.tails: dict[int, set[str]] = defaultdict(set)
+        self.inside: dict[tuple[int, int], set[str]] = defaultdict(set)
+        self.letters = frozenset(t[:1] for t, (is_open, _) in self.terms.items() if is_open)
         for t, (is_open, _) in self.terms.items():
             n = max(2, (len(t) - 1) // 2)
-            heads.add(t[:2])
-            if not is_open:
-                tails.add(t[-2:])
-                for length in range(len(t) - 1, len(t) + 2):
-                    by_length[length, n][0].add(t[:n])
-                    by_length[length, n][1].add(t[-n:])
-        self.heads, self.tails = frozenset(heads), frozenset(tails)
-        self.near: dict[int, list[tuple[int, set[str], set[str]]]] = defaultdict(list)
-        for (length, n), (h, t) in by_length.items():
-            self.near[length].append((n, h, t))
-        self.near = dict(self.near)
+            self.heads[n].add(t[:n])
+            if is_open:
+                for at in range(len(t) - n - 1, len(t) - n + 2):
+                    self.inside[at, at + n].add(t[-n:])
+            else:
+                self.tails[n].add(t[-n:])
+        self.heads, self.tails, self.inside = dict(self.heads), dict(self.tails), dict(self.inside)
         self.seen: dict[str, tuple[str, int] | None] = {}
 
     def look(self, word: str) -> tuple[str, int] | None:
         """The term that a lower-case word is or misspells, and the distance.
 
-        Only words that begin with a stem, or whose length and first or last letters leave a term within one
-        edit possible, are run against the trie.
+        Only words whose letters leave a term within one edit possible are run against the trie; what a word
+        gave is kept.
         """
+        if word in self.seen:
+            return self.seen[word]
         plain = word if word.isalpha() else word.translate(LEET)
-        if plain[:2] not in self.heads and plain[-2:] not in self.tails:
-            return None
-        if not (
-            any(plain[:n] in self.stems for n in self.stem_lengths)
-            or any(plain[:n] in h or plain[-n:] in t for n, h, t in self.near.get(len(plain), ()))
+        found = None
+        if (
+            any(plain[:n] in h for n, h in self.heads.items())
+            or any(plain[-n:] in t for n, t in self.tails.items())
+            or plain[:1] in self.letters
+            and any(plain[i:j] in t for (i, j), t in self.inside.items())
         ):
-            return None
-        if plain not in self.seen:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[plain] = automaton(plain, self.trie)
-        found = self.seen[plain]
-        return (found[0], max(found[1], int(plain != word))) if found else None
+            found = automaton(plain, self.trie)
+            if found:
+                found = found[0], max(found[1], int(plain != word))
+        if len(self.seen) >= KEPT_WORDS:
+            self.seen.clear()
+        if len(word) <= KEPT_LENGTH:
+            self.seen[word] = found
+        return found
 
     def weight(self, word: str, term: str, edits: int) -> float:
         if edits == 0:
@@ -141,16 +145,20 @@ class Lexicon:
     def score(self, text: str) -> tuple[float, list[dict]]:
         """The score of a whole text and its hits."""
         low = text.lower()
-        hits, heads, tails = [], self.heads, self.tails
-        odds = 1.0
+        hits, odds, matched = [], 1.0, {}
         for word in set(WORD.findall(low)) if self.terms else ():
-            if word[:2] in heads or word[-2:] in tails or not word.isalpha():
-                found = self.look(word)
-                if found and (p := self.weight(word, *found)) > 0:
-                    # Of all places of the word, the one least like a quotation counts.
-                    context, place = max((self.context(low, m.start(), m.end()), -m.start()) for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", low)) if word in low else (1.0, 0)
-                    hits.append({"term": found[0], "word": word, "edits": found[1], "start": -place, "context": context})
-                    odds *= 1 - min(0.999, p * context)
+            found = self.look(word)
+            if found and (p := self.weight(word, *found)) > 0:
+                matched[word] = found, p, []
+        if matched:
+            for m in WORD.finditer(low):
+                if m[0] in matched:
+                    matched[m[0]][2].append((m.start(), m.end()))
+            for word, (found, p, places) in matched.items():
+                # Of all places of the word, the one least like a quotation counts.
+                context, place = max((self.context(low, i, j), -i) for i, j in places)
+                hits.append({"term": found[0], "word": word, "edits": found[1], "start": -place, "context": context})
+                odds *= 1 - min(0.999, p * context)
         hits.sort(key=lambda h: (h["start"], h["word"]))
         return 1 - (1 - self.base) * odds, hits
 
@@ -177,7 +185,7 @@ def learn(labelled: DataFrame, label: str = "toxic", text: str = "text", order:
     """A lexicon from labelled texts: the first ``sample_rows`` rows by a hash of ``order`` are used.
 
     Words and word beginnings are counted once in each text, by label. A term must be significant (so
-    often in toxic texts that chance gives less than 0.05 such terms) and reach the precision. Of a chain
+    often in toxic texts that chance gives less than 0.05 such terms among all that were counted) and reach the precision. Of a chain
     of beginnings the longest that keeps 0.9 of the texts is taken; a whole word, if it does. Without
     texts of both labels the lexicon is empty.
     """
@@ -190,7 +198,7 @@ def learn(labelled: DataFrame, label: str = "toxic", text: str = "text", order:
         begin = F.flatten(F.transform(_words("text"), lambda w: F.when(F.char_length(w) >= 3, F.array_append(F.transform(F.sequence(F.lit(STEM[0]), F.greatest(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.char_length(w)))), lambda i: F.substring(w, F.lit(1), i)), F.concat(w, F.lit("$"))) ).otherwise(F.array().cast("array<string>"))))
         counts = rows.select("y", F.explode(F.array_distinct(begin)).alias("f")).groupBy("f").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
         rate = n.t / n.n
-        least = max(3, math.ceil(math.log(1e6 / 0.05) / math.log(1 / rate)) if n.n > 1000 else math.ceil(math.log(1e5 / 0.05) / math.log(1 / rate)))
+        least = max(3, math.ceil(math.log(max(1, counts.count()) / 0.05) / math.log(1 / rate)))
         found = {r.f: (r.t, r.c) for r in counts.filter((F.col("t") >= least) & ((F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1) >= PRECISION)).collect()}
         terms = _choose(found)
         lexicon = Lexicon(terms)
@@ -266,9 +274,9 @@ def held_out(key):
 
 
 def learn_from(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """A lexicon from the labels that aren't held out. Labels are the small side: documents are filtered, not shuffled, where it is small enough to send."""
-    train = labels.filter(~held_out(labels["doc_id"]) & labels["toxic"].isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("toxic"))
-    train = train.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    """A lexicon from the labels that aren't held out, of a document with several the largest; at most SAMPLE_ROWS are sent to the documents."""
+    train = labels.filter(~held_out(labels["doc_id"]) & labels["toxic"].isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id")
     return learn(rows)
 

@@ -13,7 +13,7 @@ import base64
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -208,10 +208,11 @@ class Archive:
     def find(self, url: str | None, page_id: int | None) -> tuple[dict[str, str], bytes] | None:
         """The record of a capture, by URL and id."""
         key = (url_key(url), -1 << 63 if page_id is None else page_id)
-        i = bisect_right(self.first, key) - 1
-        for k, p, file, start, size in self.block(i) if i >= 0 else ():
-            if k == key[0] and p == page_id:
-                return self.read(file, start, size)
+        # Blocks that start with the key, and the one before them, which may end in it.
+        for i in range(max(0, bisect_left(self.first, key) - 1), bisect_right(self.first, key)):
+            for k, p, file, start, size in self.block(i):
+                if k == key[0] and p == page_id:
+                    return self.read(file, start, size)
         return None
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -42,7 +43,6 @@ def test_packing_is_a_partition_of_all_ids(spark):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     random.seed(2)
     texts = TEXTS + [" ".join(random.choice(["alpha", "Beta,", "gamma.\nD"]) for _ in range(random.randint(0, 2500))) for _ in range(120)]
     out = packing.pack(docs(spark, texts), lambda: packing.tokenizer(path, P.PATTERN).encode, 1, 2048).collect()
@@ -55,6 +55,8 @@ def test_packing_is_a_partition_of_all_ids(spark):
         rows = sorted(by_doc[i], key=lambda r: r.start)
         assert [x for r in rows for x in np.frombuffer(r.ids, "<u4").tolist()] == ids
         assert all(r.doc_tokens == len(ids) and len(r.ids) == 4 * r.length for r in rows)
+    t.encode_special_tokens = True
+    assert np.frombuffer(packing.WordCache(path, P.PATTERN, ordinary=True).encode(TEXTS[9]), "<u4").tolist() == t.encode(TEXTS[9], add_special_tokens=False).ids
     padded = 0
     for rows in by_seq.values():
         at = 0
@@ -123,7 +125,7 @@ def test_levenshtein_automaton_equals_edit_distance():
         word = "".join(w)
         best = []
         for t, is_open in terms.items():
-            d = (0 if word.startswith(t) else 9) if is_open else osa(word, t)
+            d = (min(osa(word[:j], t) for j in range(len(word) + 1)) if word[0] == t[0] else 9) if is_open else osa(word, t)
             if d == 0 or d == 1 and len(t) > 4:
                 best.append((d, -len(t), t))
         found = lexicon.look(word)
@@ -151,6 +153,57 @@ def test_toxicity_learns_and_generalises(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == docs(spark, [""]).columns
 
 
+def test_toxicity_of_words_beside_underscores_and_marks(spark):
+    lexicon = toxicity.Lexicon({"scoundrel": (False, 0.9), "vermi": (True, 0.9)})
+    texts = ["you _scoundrel here", "_scoundrel_", "a__scoundrel$", "x-scoundrel.", "vermins_ vemrins", "\u0130scoundrel scoundrel"]
+    rows = {r.doc_id: r for r in toxicity.score(docs(spark, texts + texts), lexicon).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].score == rows[i + len(texts)].score
+        for h in rows[i].hits:
+            assert t.lower()[h.start :].startswith(h.word)
+    assert rows[0].score >= 0.5 and {h.word for h in rows[4].hits} == {"vermins_", "vemrins"}
+
+
+def test_toxicity_equals_plain_rescoring(spark):
+    """Scores against the rule told plainly: each word's nearest term by edit distance, its best context, noisy-or."""
+    random.seed(15)
+    terms = {"scoundrel": (False, 0.9), "wretch": (False, 0.97), "vermi": (True, 0.8), "foo": (False, 0.35)}
+    lexicon = toxicity.Lexicon(terms, {"wretch": 0.4}, frozenset({"wretchy"}), base=0.03)
+    vocabulary = ["scoundrel", "scuondrel", "wretched", "wretch", "wretchy", "vermin", "vermni", "foo", "fo", "you", "said", '"', "word", "la", "mi", "w_x", "sc0undrel"]
+    texts = ["", None, *[" ".join(random.choice(vocabulary) for _ in range(random.randint(1, 12))) for _ in range(300)]]
+
+    def distance(a, b):
+        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    def plain(text):
+        text, odds = text or "", 1.0
+        places = defaultdict(list)
+        for m in toxicity.WORD.finditer(text):
+            places[m[0]].append(toxicity.Lexicon.context(text, m.start(), m.end()))
+        for word, contexts in places.items():
+            letters = word.translate(toxicity.LEET) if not word.isalpha() else word
+            near = []
+            for t, (is_open, _) in terms.items():
+                d = (min(distance(letters[:j], t) for j in range(len(letters) + 1)) if letters[0] == t[0] else 9) if is_open else distance(letters, t)
+                if d == 0 or d == 1 and len(t) > 4:
+                    near.append((d, -len(t), t))
+            if near:
+                d, _, t = min(near)
+                d = max(d, int(letters != word))
+                p = terms[t][1] if not d else 0 if word == "wretchy" else terms[t][1] * {"wretch": 0.4}.get(t, 0.7)
+                odds *= 1 - min(0.999, p * max(contexts))
+        return 1 - 0.97 * odds
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts), lexicon).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-9 for i, t in enumerate(texts))
+
+
 def test_fingerprints_estimate_jaccard(spark):
     random.seed(6)
     words = [f"w{i}" for i in range(500)]
@@ -206,6 +259,8 @@ def test_warc_blocks_of_one_key(spark):
     rows = [(None, "http://a.org/", f"text {i}") for i in range(2000)] + [(5, "http://a.org/", "x"), (5, "http://a.org/", "x")]
     directory = warc.write_index(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")))
     assert directory.groupBy("url_key", "page_id").count().agg(F.max("count")).first()[0] > 1
+    archive = warc.Archive([tuple(r) for r in directory.select("url_key", "page_id", "file", "start", "size", "n").collect()])
+    assert archive.find("http://a.org/", 5)[1] == b"x" and archive.find("http://a.org/", None)[1].startswith(b"text") and archive.find("http://a.org/", 4) is None
     got = [(r.page_id, r.payload_digest, r.payload_ok) for r in warc.read_archives(directory).collect()]
     key = lambda r: (r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted([(p, warc.payload_digest(h.encode()), True) for p, _, h in rows], key=key)
@@ -260,6 +315,17 @@ def test_every_query_gets_k_neighbours(spark, monkeypatch):
     assert {r.query_id: r["count"] for r in ann.search(few, few, 10).groupBy("query_id").count().collect()} == {i: 3 for i in range(4)}
 
 
+def test_far_off_and_huge_vectors(spark):
+    rng = np.random.default_rng(10)
+    sets = [1e8 + rng.standard_normal((300, 8)), 1e200 * rng.standard_normal((300, 8)), 1e-200 * rng.standard_normal((300, 8)), rng.standard_normal((300, 8)) * 10.0 ** rng.integers(-9, 9, (300, 1))]
+    for x in sets:
+        ids = np.arange(len(x))
+        for i, near, d in ann.nearest(x[:50], x, ids, ids[:50], 10):
+            true = np.array([math.dist(x[i].tolist(), y) for y in x.tolist()])
+            true[i] = np.inf
+            assert near.tolist() == np.lexsort((ids, true))[:10].tolist() and np.allclose(d, true[near], rtol=1e-12, atol=0)
+
+
 def test_moves_come_by_rising_score():
     rng = np.random.default_rng(8)
     s = rng.random(10)
