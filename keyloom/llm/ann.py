@@ -146,10 +146,12 @@ def fit(sample: np.ndarray, k: int, rows: int | None = None, tables: int = 4, ta
     ``share`` and ``recall`` of the index tell what the sample gave.
     """
     dim = sample.shape[1] if len(sample) else 1
-    scale = float(np.abs(sample).max()) if len(sample) else 1.0
-    spread = scale * float(np.sqrt((sample / scale).var(axis=0).sum())) if scale > 0 else 1.0
+    if not len(sample):
+        return Index(dim, tables, 4, 1.0, 1, seed)
+    scale = float(np.abs(sample).max())
+    spread = scale * float(np.sqrt((sample / scale).var(axis=0).sum()))
     asked = np.arange(0, len(sample), max(1, len(sample) // 64))
-    true = {i: near for i, near, _ in nearest(sample[asked], sample, np.arange(len(sample)), asked, k)} if len(sample) else {}
+    true = {i: near for i, near, _ in nearest(sample[asked], sample, np.arange(len(sample)), asked, k)}
     rows = max(rows or len(sample), 16)
     best = None
     for functions in range(4, max(4, min(16, int(np.log2(rows)))) + 1, 2):
@@ -183,8 +185,6 @@ def fit(sample: np.ndarray, k: int, rows: int | None = None, tables: int = 4, ta
                 break
         if not reached:
             break
-    if best is None:
-        return Index(dim, tables, 4, 1.0, 1, seed)
     functions, width, probes, recall, share = best[1]
     index = Index(dim, tables, functions, max(width * spread, 1e-300), probes, seed)
     index.recall, index.share = recall, share
