@@ -11,13 +11,24 @@ from keyloom.schema import live
 COLS = ["db", "key", "type", "expire_at_ms"]
 
 
+def _at(relation: DataFrame, asked: DataFrame) -> tuple[list[str], DataFrame]:
+    """What keys are joined by: database and key, where the relation has databases; requests without one are for database 0."""
+    if "db" not in relation.columns:
+        return ["key"], asked
+    return ["db", "key"], asked if "db" in asked.columns else asked.withColumn("db", F.lit(0))
+
+
 def exists(ks: DataFrame, asked: DataFrame, as_of_ms: int) -> DataFrame:
     """found: how many of the asked keys are live, repeats counted (EXISTS, TOUCH)."""
-    return asked.join(ks.filter(live(as_of_ms)).select("key").distinct(), "key", "left_semi").agg(F.count("*").alias("found"))
+    at, asked = _at(ks, asked)
+    return asked.join(ks.filter(live(as_of_ms)).select(at), at, "left_semi").agg(F.count("*").alias("found"))
 
 
 def type_(ks: DataFrame, asked: DataFrame, as_of_ms: int) -> DataFrame:
-    return asked.join(ks.filter(live(as_of_ms)).select("key", "type"), "key", "left").select("key", F.coalesce("type", F.lit("none")).alias("type"))
+    """key (after db, if asked for), type."""
+    out = [c for c in ("db", "key") if c in asked.columns]
+    at, asked = _at(ks, asked)
+    return asked.join(ks.filter(live(as_of_ms)).select(*at, "type"), at, "left").select(*out, F.coalesce("type", F.lit("none")).alias("type"))
 
 
 def keys(ks: DataFrame, pattern: str, as_of_ms: int) -> DataFrame:
@@ -33,26 +44,31 @@ def scan(ks: DataFrame, after: str | None, n: int, as_of_ms: int, pattern: str =
 
 def delete(rel: DataFrame, gone: DataFrame) -> DataFrame:
     """Any relation without the keys (DEL, UNLINK)."""
-    return rel.join(gone.select("key"), "key", "left_anti")
+    at, gone = _at(rel, gone)
+    return rel.join(gone.select(at), at, "left_anti")
+
+
+def _is(rel: DataFrame, key: str, db: int):
+    return (F.col("key") == key) & (F.col("db") == db if "db" in rel.columns else F.lit(True))
 
 
-def rename(rel: DataFrame, source: str, target: str, only_new: bool = False) -> DataFrame:
+def rename(rel: DataFrame, source: str, target: str, only_new: bool = False, db: int = 0) -> DataFrame:
     """The relation after RENAME (RENAMENX: nothing changes if the target exists): value and expiry move."""
-    there = rel.filter(F.col("key").isin(source, target)).agg(F.bool_or(F.col("key") == source).alias("s"), F.bool_or(F.col("key") == target).alias("t"))
+    there = rel.agg(F.bool_or(_is(rel, source, db)).alias("s"), F.bool_or(_is(rel, target, db)).alias("t"))
     act = F.coalesce("s", F.lit(False)) & (~F.coalesce("t", F.lit(False)) if only_new else F.lit(True))
     tagged = rel.crossJoin(F.broadcast(there.select(act.alias("act"))))
-    kept = tagged.filter(~(F.col("act") & (F.col("key") == target) & F.lit(source != target)))
-    return kept.withColumn("key", F.when(F.col("act") & (F.col("key") == source), target).otherwise(F.col("key"))).drop("act")
+    kept = tagged.filter(~(F.col("act") & _is(rel, target, db) & F.lit(source != target)))
+    return kept.withColumn("key", F.when(F.col("act") & _is(rel, source, db), target).otherwise(F.col("key"))).drop("act")
 
 
-def copy(rel: DataFrame, source: str, target: str, replace: bool = False) -> DataFrame:
+def copy(rel: DataFrame, source: str, target: str, replace: bool = False, db: int = 0) -> DataFrame:
     """The relation after COPY: values are copied, the expiry isn't."""
-    there = rel.filter(F.col("key") == target).agg(F.count("*").alias("n"))
-    new = rel.filter(F.col("key") == source).withColumn("key", F.lit(target))
+    there = rel.filter(_is(rel, target, db)).agg(F.count("*").alias("n"))
+    new = rel.filter(_is(rel, source, db)).withColumn("key", F.lit(target))
     if "expire_at_ms" in rel.columns:
         new = new.withColumn("expire_at_ms", F.lit(None).cast("long"))
     if replace:
-        return rel.filter(F.col("key") != target).unionByName(new)
+        return rel.filter(~_is(rel, target, db)).unionByName(new)
     return rel.unionByName(new.crossJoin(F.broadcast(there)).filter("n = 0").drop("n"))
 
 
@@ -67,14 +83,17 @@ def move(ks: DataFrame, asked: DataFrame, db: int) -> DataFrame:
 def expire(ks: DataFrame, asked: DataFrame, at_ms: int | None, as_of_ms: int) -> DataFrame:
     """The relation after EXPIRE, PEXPIRE, EXPIREAT, PEXPIREAT (an absolute time) or PERSIST (None)."""
     new = F.lit(at_ms).cast("long")
-    return ks.filter(live(as_of_ms)).join(asked.select("key", F.lit(True).alias("asked")), "key", "left").select("db", "key", "type", F.when(F.col("asked"), new).otherwise(F.col("expire_at_ms")).alias("expire_at_ms"))
+    at, asked = _at(ks, asked)
+    return ks.filter(live(as_of_ms)).join(asked.select(*at, F.lit(True).alias("asked")).distinct(), at, "left").select("db", "key", "type", F.when(F.col("asked"), new).otherwise(F.col("expire_at_ms")).alias("expire_at_ms"))
 
 
 def ttl(ks: DataFrame, asked: DataFrame, as_of_ms: int, unit_ms: int = 1000, absolute: bool = False) -> DataFrame:
     """key, ttl of TTL, PTTL (unit 1), EXPIRETIME and PEXPIRETIME (absolute): -2 missing, -1 no expiry."""
-    j = asked.select("key").join(ks.filter(live(as_of_ms)).select("key", "expire_at_ms", F.lit(1).alias("there")), "key", "left")
+    out = [c for c in ("db", "key") if c in asked.columns]
+    at, asked = _at(ks, asked)
+    j = asked.select(at).join(ks.filter(live(as_of_ms)).select(*at, "expire_at_ms", F.lit(1).alias("there")), at, "left")
     e = F.col("expire_at_ms")
-    return j.select("key", F.when(F.col("there").isNull(), -2).when(e.isNull(), -1).otherwise(F.floor((e if absolute else e - as_of_ms) / unit_ms)).cast("long").alias("ttl"))
+    return j.select(*out, F.when(F.col("there").isNull(), -2).when(e.isNull(), -1).otherwise(F.floor((e if absolute else e - as_of_ms) / unit_ms)).cast("long").alias("ttl"))
 
 
 def db_size(ks: DataFrame, as_of_ms: int) -> DataFrame:
@@ -87,7 +106,7 @@ def flush_db(rel: DataFrame, db: int) -> DataFrame:
 
 
 def random_key(ks: DataFrame, as_of_ms: int, seed: int) -> DataFrame:
-    return ks.filter(live(as_of_ms)).orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(1).select("key")
+    return ks.filter(live(as_of_ms)).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "key")), "key").limit(1).select("key")
 
 
 def compact(rel: DataFrame, as_of_ms: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import geohash as G
@@ -31,14 +33,19 @@ def hash_text(z: DataFrame) -> DataFrame:
     return z.select("key", "member", G.text(F.col("score").cast("long")).alias("hash"))
 
 
+def _near(z: DataFrame, lon: float, lat: float, metres: float) -> DataFrame:
+    """The rows whose cells lie in the ranges around a circle."""
+    return z.filter(reduce(Column.__or__, [F.col("score").between(float(a), float(b)) for a, b in G.near_cells(lon, lat, metres)]))
+
+
 def search(z: DataFrame, lon: float, lat: float, radius: float, unit: str = "m", count: int | None = None, descending: bool = False) -> DataFrame:
     """key, member, lon, lat, metres within a radius, nearest first if counted.
 
-    A bounding box of latitudes is tested before the distance, so most rows cost two comparisons.
+    Scores are tested against the few ranges of cells around the centre first, which a scan can prune by; only
+    what lies in them is decoded.
     """
     metres = radius * G.UNITS[unit]
-    reach = metres / G.RADIUS * 180 / 3.141592653589793
-    p = position(z).filter(F.col("lat").between(lat - reach - 1e-6, lat + reach + 1e-6))
+    p = position(_near(z, lon, lat, metres))
     p = p.withColumn("metres", G.distance(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat))).filter(F.col("metres") <= metres)
     if count:
         p = p.orderBy(F.col("metres").desc() if descending else F.col("metres"), "member").limit(count)
@@ -50,7 +57,7 @@ def search_box(z: DataFrame, lon: float, lat: float, width: float, height: float
     if not true_box:
         return search(z, lon, lat, max(width, height) / 2, unit, count)
     m = G.UNITS[unit]
-    p = position(z).withColumn("metres", G.distance(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat)))
+    p = position(_near(z, lon, lat, (width + height) * m / 2)).withColumn("metres", G.distance(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat)))
     x, y = G.distance(F.col("lon"), F.col("lat"), F.lit(lon), F.col("lat")), G.distance(F.lit(lon), F.col("lat"), F.lit(lon), F.lit(lat))
     p = p.filter((x <= width * m / 2) & (y <= height * m / 2))
     return p.orderBy("metres", "member").limit(count) if count else p

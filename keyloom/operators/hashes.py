@@ -21,8 +21,13 @@ def multi_get(h: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def set_(h: DataFrame, new: DataFrame, only_new: bool = False) -> DataFrame:
-    """The relation after HSET or HMSET (HSETNX: ``only_new``); a field's time to live stays."""
+    """The relation after HSET or HMSET (HSETNX: ``only_new``); a field's time to live stays.
+
+    Of a field given twice the last value by ``ord`` holds (HSETNX: the first), without ``ord`` the greatest.
+    """
     at = ["key", "field"]
+    of = F.max("value") if "ord" not in new.columns else F.min_by("value", "ord") if only_new else F.max_by("value", "ord")
+    new = new.groupBy(at).agg(of.alias("value"))
     if only_new:
         return h.select(COLS).unionByName(new.join(h.select(at), at, "left_anti").select("key", "field", "value", F.lit(None).cast("long").alias("field_expire_at_ms")))
     j = h.select(COLS).join(new.select("key", "field", F.col("value").alias("new"), F.lit(True).alias("hit")), at, "full_outer")
@@ -65,10 +70,14 @@ def as_map(h: DataFrame) -> DataFrame:
 
 
 def increment(h: DataFrame, deltas: DataFrame) -> DataFrame:
-    """key, field, number after HINCRBY; a sum beyond 64 bits raises, as INCRBY does."""
-    d = deltas.groupBy("key", "field").agg(F.sum("delta").alias("delta"))
+    """key, field, number, error after HINCRBY; a value that is no integer, or a sum beyond 64 bits, gives an error and no number."""
+    d = deltas.groupBy("key", "field").agg(F.sum(F.col("delta").cast("decimal(38,0)")).alias("delta"))
     j = d.join(h.select("key", "field", "value"), ["key", "field"], "left")
-    return j.select("key", "field", (F.when(F.col("value").isNull(), F.lit(0)).otherwise(integer(F.col("value"))).cast("long") + F.col("delta")).alias("number"))
+    base = F.when(F.col("value").isNull(), F.lit(0)).otherwise(integer(F.col("value")))
+    total = base.cast("decimal(38,0)") + F.col("delta")
+    fits = total.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)"))
+    error = F.when(base.isNull(), "hash value is not an integer").when(~fits, "increment or decrement would overflow")
+    return j.select("key", "field", F.when(fits, total.try_cast("long")).alias("number"), error.alias("error"))
 
 
 def increment_float(h: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -90,7 +99,7 @@ def random_fields(h: DataFrame, n: int, seed: int) -> DataFrame:
     from pyspark.sql import Window
 
     if n >= 0:
-        rn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("field", F.lit(seed)), "field"))
+        rn = F.row_number().over(Window.partitionBy("key").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "field")), "field"))
         return h.withColumn("rn", rn).filter(F.col("rn") <= n).select("key", "field", "value")
     by = Window.partitionBy("key")
     d = h.withColumns({"i": F.row_number().over(by.orderBy("field")) - 1, "n": F.count("*").over(by)})

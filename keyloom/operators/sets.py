@@ -71,13 +71,13 @@ def move(s: DataFrame, source: str, target: str, member: str) -> DataFrame:
 
 def random_members(s: DataFrame, n: int, seed: int) -> DataFrame:
     """SRANDMEMBER: up to ``n`` members of each key by seeded hash."""
-    rn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("member", F.lit(seed)), "member"))
+    rn = F.row_number().over(Window.partitionBy("key").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "member")), "member"))
     return s.withColumn("rn", rn).filter(F.col("rn") <= n).select(AT)
 
 
 def pop(s: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """SPOP: (popped, rest)."""
-    r = s.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("member", F.lit(seed)), "member")))
+    r = s.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "member")), "member")))
     return r.filter(F.col("rn") <= n).select(AT), r.filter(F.col("rn") > n).select(AT)
 
 

@@ -27,6 +27,42 @@ def batches(log: DataFrame) -> DataFrame:
 
 
 def conflicts(watches: DataFrame, writes: DataFrame) -> DataFrame:
-    """exec_seq of transactions to abort: a watched key (client_id, key, watch_seq, exec_seq) that another client wrote (seq, client_id, key) meanwhile."""
-    w = writes.select(F.col("seq").alias("write_seq"), F.col("client_id").alias("writer"), "key")
-    return watches.join(w, "key").filter("write_seq > watch_seq and write_seq < exec_seq and writer <> client_id").select("client_id", "exec_seq").distinct()
+    """client_id, exec_seq of transactions to abort: a watched key (client_id, key, watch_seq, exec_seq) was written (seq, key) meanwhile.
+
+    Any write counts, the watcher's own too. Of each key the watches and writes are put in order together, and a watch looks
+    at the next write only, so a key's rows are sorted, never paired.
+    """
+    from pyspark.sql import Window
+
+    both = watches.select("key", F.col("watch_seq").alias("at"), "client_id", "exec_seq", F.lit(None).cast("long").alias("write")).unionByName(
+        writes.select("key", F.col("seq").alias("at"), F.lit(None).cast("long").alias("client_id"), F.lit(None).cast("long").alias("exec_seq"), F.col("seq").cast("long").alias("write"))
+    )
+    # A write at the very place of a watch comes before it. From the last row back, so that the frame grows.
+    back = Window.partitionBy("key").orderBy(F.col("at").desc(), F.col("write").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    after = both.withColumn("next", F.min("write").over(back))
+    return after.filter("exec_seq is not null and next > at and next < exec_seq").select("client_id", "exec_seq").distinct()
+
+
+def apply(log: DataFrame) -> DataFrame:
+    """What takes effect of a log (seq, client_id, cmd, key, ...): its columns and ``at``, the place where each command does.
+
+    Commands outside of MULTI act where they stand. Those queued between MULTI and EXEC act at the EXEC, in their order,
+    unless DISCARD came instead or a key that the client watched (WATCH, until EXEC, DISCARD or UNWATCH) was written between
+    its WATCH and the EXEC. A write is any command outside of a queue but those of transactions; the queues of others count
+    where they are executed, whether or not they are aborted themselves. A queue without an end does nothing.
+    """
+    from pyspark.sql import Window
+
+    marks = ("MULTI", "EXEC", "DISCARD", "WATCH", "UNWATCH")
+    by = Window.partitionBy("client_id").orderBy("seq")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    after = by.rowsBetween(1, Window.unboundedFollowing)
+    seq = lambda *names: F.when(F.col("cmd").isin(*names), F.col("seq"))
+    t = log.withColumns({"opened": F.max(seq("MULTI")).over(before), "closed": F.max(seq("EXEC", "DISCARD")).over(before), "ends": F.min(F.when(F.col("cmd").isin("EXEC", "DISCARD"), F.struct("seq", "cmd"))).over(after), "forgot": F.min(seq("EXEC", "DISCARD", "UNWATCH")).over(after)})
+    queued = F.col("opened").isNotNull() & (F.col("closed").isNull() | (F.col("opened") > F.col("closed")))
+    t = t.withColumn("queued", queued)
+    acts = t.filter(~F.col("cmd").isin(*marks)).withColumn("at", F.when(~F.col("queued"), F.col("seq")).when(F.col("ends.cmd") == "EXEC", F.col("ends.seq"))).filter("at is not null")
+    watches = t.filter((F.col("cmd") == "WATCH") & ~F.col("queued") & (F.col("ends.cmd") == "EXEC") & (F.col("forgot") == F.col("ends.seq")))
+    gone = conflicts(watches.select("client_id", "key", F.col("seq").alias("watch_seq"), F.col("ends.seq").alias("exec_seq")), acts.select(F.col("at").alias("seq"), "key"))
+    gone = gone.select("client_id", F.col("exec_seq").alias("at"), F.lit(True).alias("queued"))
+    return acts.join(gone, ["client_id", "at", "queued"], "left_anti").select(*log.columns, "at")

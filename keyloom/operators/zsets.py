@@ -20,9 +20,21 @@ def _desc() -> list[Column]:
 
 
 def add(z: DataFrame, new: DataFrame, only: str | None = None, better: str | None = None, incr: bool = False) -> DataFrame:
-    """The relation after ZADD of ``new`` (key, member, score). only: nx or xx; better: gt or lt; incr adds to the score."""
+    """The relation after ZADD of ``new`` (key, member, score). only: nx or xx; better: gt or lt; incr adds to the score.
+
+    Arguments count in the order of ``ord``: of a member given twice the last score holds (nx: the first, gt and lt: the
+    best, incr: the sum). Without ``ord`` a member should be given once; else its largest score holds.
+    """
     old = z.select(*AT, F.col("score").alias("old"), F.lit(True).alias("there"))
-    n = new.groupBy(AT).agg((F.sum if incr else F.max)("score").alias("new"), F.lit(True).alias("hit"))
+    if incr:
+        of = F.sum("score")
+    elif better:
+        of = F.max("score") if better == "gt" else F.min("score")
+    elif "ord" in new.columns:
+        of = F.min_by("score", "ord") if only == "nx" else F.max_by("score", "ord")
+    else:
+        of = F.max("score")
+    n = new.groupBy(AT).agg(of.alias("new"), F.lit(True).alias("hit"))
     j = old.join(n, AT, "full_outer")
     there, hit = F.coalesce("there", F.lit(False)), F.coalesce("hit", F.lit(False))
     if only == "xx":
@@ -155,7 +167,7 @@ def store(z: DataFrame, target: str, found: DataFrame) -> DataFrame:
 
 
 def random_members(z: DataFrame, n: int, seed: int) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("member", F.lit(seed)), "member"))
+    rn = F.row_number().over(Window.partitionBy("key").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "member")), "member"))
     return z.withColumn("rn", rn).filter(F.col("rn") <= n).select(COLS)
 
 

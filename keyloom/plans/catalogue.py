@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from keyloom.log import fold
 from keyloom.operators import cluster, generic, geo, hashes, lists, pubsub, scripting, sets, sketches, streams, strings, transactions, zsets
+from keyloom.plans.commands import rows as command_rows
+from keyloom.schema import visible
 from keyloom.sources.adapters import Tables
 
 NOW = 1704067500000
@@ -24,13 +26,12 @@ VIEWS = {
     "kv_set": "SELECT concat('seg:',c_mktsegment) AS key, CAST(c_custkey AS VARCHAR) AS member FROM customer UNION ALL SELECT concat('nat:',c_nationkey), CAST(c_custkey AS VARCHAR) FROM customer",
     "kv_stream": "SELECT concat('ev:',event_type) AS key, epoch_us(ts)//1000 AS id_ms, row_number() OVER (PARTITION BY event_type, epoch_us(ts)//1000 ORDER BY event_id)-1 AS id_seq, event_id, user_id, value FROM events",
     "points": "SELECT c_name AS member, (c_custkey*37%36000)/100.0::DOUBLE-180.0 AS lon, (c_custkey*53%17000)/100.0::DOUBLE-85.0 AS lat FROM customer",
-    "keyspace": "SELECT 0 AS db, key, 'string' AS type, expire_at_ms FROM kv_string UNION ALL SELECT 0, concat('ord:',o_orderkey), 'list', NULL FROM orders WHERE o_orderkey%7=0 UNION ALL SELECT 1, concat('nat:',n_nationkey), 'zset', NULL FROM nation",
+    "keyspace": "SELECT 0 AS db, key, 'string' AS type, expire_at_ms FROM kv_string UNION ALL SELECT 0, concat('ord:',o_orderkey), 'list', NULL FROM orders UNION ALL SELECT 1, concat('nat:',n_nationkey), 'zset', NULL FROM nation",
     "live_keys": f"SELECT * FROM keyspace WHERE expire_at_ms IS NULL OR expire_at_ms >= {NOW}",
     "log": "SELECT event_id AS seq, epoch_us(ts)//1000 AS ts_ms, user_id AS client_id, CASE event_id%5 WHEN 0 THEN 'SET' WHEN 3 THEN 'DEL' ELSE 'INCRBY' END AS cmd, concat('u:',user_id) AS key, CAST(round(value*100) AS BIGINT) AS v FROM events",
-    "pel": "SELECT key, 'g' AS grp, id_ms, id_seq, event_id, concat('c', user_id%3) AS consumer, id_ms+5 AS delivery_ms, 1 AS delivery_count FROM kv_stream WHERE event_id%4=0",
-    "pel_whole": "SELECT key, 'g' AS grp, id_ms, id_seq, event_id, concat('c', user_id%3) AS consumer, id_ms+5 AS delivery_ms, 1 AS delivery_count FROM kv_stream",
+    "pel": "SELECT key, 'g' AS grp, id_ms, id_seq, event_id, concat('c', user_id%3) AS consumer, id_ms+5 AS delivery_ms, 1 AS delivery_count FROM kv_stream",
 }
-_NEEDS = {"live_string": ["kv_string"], "zranked": ["kv_zset"], "live_keys": ["kv_string", "keyspace"], "keyspace": ["kv_string"], "pel": ["kv_stream"], "pel_whole": ["kv_stream"]}
+_NEEDS = {"live_string": ["kv_string"], "zranked": ["kv_zset"], "live_keys": ["kv_string", "keyspace"], "keyspace": ["kv_string"], "pel": ["kv_stream"]}
 _found: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
 
@@ -92,6 +93,11 @@ query("string_mset", "SELECT concat('u:',user_id) AS key, arg_max(event_type, ev
 query("string_msetnx", "SELECT key, value FROM live_string")(lambda t: strings.set_if_none(t.strings(), _new(t), NOW).select("key", "value"))
 
 
+query("string_msetnx_none_there", "SELECT key, value FROM live_string UNION ALL SELECT concat('fresh:',c_custkey), c_name FROM customer")(
+    lambda t: strings.set_if_none(t.strings(), t.table("customer").select(F.concat(F.lit("fresh:"), "c_custkey").alias("key"), F.col("c_name").alias("value"), F.lit(None).cast("long").alias("expire_at_ms")), NOW).select("key", "value")
+)
+
+
 def _delta(t: Tables, sign: int) -> DataFrame:
     return t.table("orders").select(F.concat(F.lit("bal:"), F.col("o_custkey")).alias("key"), (F.lit(sign) * F.col("o_orderkey")).alias("delta"))
 
@@ -174,7 +180,7 @@ query("hash_hlen", "SELECT key, count(*) AS length FROM kv_hash GROUP BY key")(l
 query("hash_hkeys", "SELECT key, field FROM kv_hash")(lambda t: hashes.fields(t.hashes()))
 query("hash_hvals", "SELECT key, value FROM kv_hash")(lambda t: hashes.values(t.hashes()))
 query("hash_hgetall", "SELECT key, field, value FROM kv_hash")(lambda t: hashes.all_(t.hashes()))
-query("hash_hincrby", "SELECT key, 'cents' AS field, CAST(value AS BIGINT)+7 AS number FROM kv_hash WHERE field='cents'")(lambda t: hashes.increment(t.hashes(), _fields(t, "cents").withColumn("delta", F.lit(7).cast("long"))))
+query("hash_hincrby", "SELECT key, 'cents' AS field, CAST(value AS BIGINT)+7 AS number FROM kv_hash WHERE field='cents'")(lambda t: hashes.increment(t.hashes(), _fields(t, "cents").withColumn("delta", F.lit(7).cast("long"))).select("key", "field", "number"))
 query("hash_hincrbyfloat", "SELECT key, 'cents' AS field, CAST(value AS DOUBLE)+0.25 AS number FROM kv_hash WHERE field='cents'")(lambda t: hashes.increment_float(t.hashes(), _fields(t, "cents").withColumn("delta", F.lit(0.25))).select("key", "field", "number"))
 query("hash_hscan_page", "SELECT key, field, value FROM kv_hash WHERE field IN ('name','nation')")(lambda t: hashes.page(t.hashes(), "cents", 2))
 _HC = "CASE WHEN h.key IS NULL THEN -2 WHEN h.fx IS NOT NULL AND h.fx <= {at} THEN 0 ELSE 1 END"
@@ -185,7 +191,7 @@ query("hash_hpexpireat_past", "SELECT key, field, value FROM kv_hash WHERE field
 for _n, _unit, _abs in (("hash_httl", 1000, False), ("hash_hpttl", 1, False), ("hash_hexpiretime", 1000, True), ("hash_hpexpiretime", 1, True)):
     query(_n, f"SELECT key, field, CAST(CASE WHEN fx < {NOW} THEN -2 WHEN fx IS NULL THEN -1 ELSE {'fx' if _abs else f'(fx-{NOW})'}//{_unit} END AS BIGINT) AS ttl FROM kv_hash WHERE field IN ('nation','name')")((lambda u, a: lambda t: hashes.ttl(t.hashes(), _fields(t, "nation", "name"), NOW, u, a))(_unit, _abs))
 query("hash_hpersist", "SELECT key, field, CASE WHEN fx IS NULL THEN -1 ELSE 1 END AS code FROM kv_hash WHERE field IN ('nation','name')")(lambda t: hashes.persist(t.hashes(), _fields(t, "nation", "name")))
-query("hash_hrandfield", None)(lambda t: hashes.random_fields(t.hashes(), 2, 11))
+query("hash_hrandfield", "SELECT key, field, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat('11:',field)), field) AS r FROM kv_hash) WHERE r<=2")(lambda t: hashes.random_fields(t.hashes(), 2, 11))
 
 # Sets.
 _NATS = [f"nat:{i}" for i in range(5)]
@@ -214,8 +220,8 @@ query("set_sunionstore", _ST.format(f"SELECT DISTINCT member FROM kv_set WHERE k
 query("set_sdiffstore", _ST.format(f"SELECT member FROM kv_set WHERE key='seg:BUILDING' EXCEPT SELECT member FROM kv_set WHERE key IN ({_IN})"))(lambda t: sets.store(t.sets(), "dst", sets.diff(t.sets(), ["seg:BUILDING", *_NATS])))
 query("set_smove", "SELECT DISTINCT CASE WHEN key='seg:BUILDING' AND member=(SELECT min(member) FROM kv_set) THEN 'seg:MACHINERY' ELSE key END AS key, member FROM kv_set")(lambda t: sets.move(t.sets(), "seg:BUILDING", "seg:MACHINERY", t.sets().agg(F.min("member")).first()[0]))
 query("set_sscan_page", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS r FROM kv_set WHERE member>'5') WHERE r<=4")(lambda t: sets.page(t.sets(), "5", 4))
-query("set_srandmember", None)(lambda t: sets.random_members(t.sets(), 3, 5))
-query("set_spop", None)(lambda t: sets.pop(t.sets(), 3, 5)[1])
+query("set_srandmember", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat('5:',member)), member) AS r FROM kv_set) WHERE r<=3")(lambda t: sets.random_members(t.sets(), 3, 5))
+query("set_spop", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat('5:',member)), member) AS r FROM kv_set) WHERE r>3")(lambda t: sets.pop(t.sets(), 3, 5)[1])
 
 # Sorted sets.
 query("leaderboard", "SELECT key, member, score, rev AS rank FROM zranked WHERE rev<3")(lambda t: zsets.top(t.zsets(), 3, reverse=True))
@@ -267,7 +273,7 @@ query("zset_zunion_weights", f"SELECT member, max(CASE key WHEN 'pri:1' THEN sco
 query("zset_zdiff", f"SELECT member, score FROM ({_ZS}) a WHERE key='pri:1' AND member NOT IN (SELECT member FROM ({_ZS}) WHERE key='pri:2')")(lambda t: zsets.difference(_zseg(t), ["pri:1", "pri:2"]))
 query("zset_zrangestore", "SELECT 'dst' AS key, member, score FROM zranked WHERE key='nat:1' AND rank BETWEEN 1 AND 3")(lambda t: zsets.store(t.zsets(), "dst", zsets.range_(t.zsets().filter("key = 'nat:1'"), 1, 3)).filter("key = 'dst'"))
 query("zset_zscan_page", "SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) AS r FROM kv_zset WHERE score>100) WHERE r<=5")(lambda t: zsets.page(t.zsets(), (100.0, "~"), 5))
-query("zset_zrandmember", None)(lambda t: zsets.random_members(t.zsets(), 2, 9))
+query("zset_zrandmember", "SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat('9:',member)), member) AS r FROM kv_zset) WHERE r<=2")(lambda t: zsets.random_members(t.zsets(), 2, 9))
 
 # Keys of any type.
 query("key_exists", "SELECT count(*) AS found FROM customer c JOIN (SELECT DISTINCT key FROM live_keys) k ON k.key=concat('cust:',c.c_custkey)")(lambda t: generic.exists(t.keyspace(), _keys(t, "cust:"), NOW))
@@ -290,7 +296,7 @@ query("key_dbsize", f"SELECT db, count(*) AS raw, count(*) FILTER (WHERE expire_
 query("key_select", "SELECT key FROM keyspace WHERE db=1")(lambda t: t.keyspace().filter("db = 1").select("key"))
 query("key_flushdb", "SELECT db, key FROM keyspace WHERE db<>1")(lambda t: generic.flush_db(t.keyspace(), 1).select("db", "key"))
 query("key_flushall", "SELECT db, key FROM keyspace WHERE false")(lambda t: t.keyspace().limit(0).select("db", "key"))
-query("key_randomkey", None)(lambda t: generic.random_key(t.keyspace(), NOW, 3))
+query("key_randomkey", "SELECT key FROM live_keys ORDER BY md5(concat('3:',key)), key LIMIT 1")(lambda t: generic.random_key(t.keyspace(), NOW, 3))
 query("key_active_expire", "SELECT key FROM live_keys")(lambda t: generic.compact(t.keyspace(), NOW).select("key"))
 query("key_object_encoding", "SELECT doc_id, CASE WHEN strlen(text)<=44 THEN 'embstr' ELSE 'raw' END AS encoding FROM documents WHERE NOT regexp_full_match(text,'[+-]?[0-9]+')")(lambda t: generic.encoding(t.table("documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value")), "string").filter("encoding <> 'int'").withColumnRenamed("key", "doc_id"))
 query("key_object_encoding_set", "SELECT key, CASE WHEN count(*)<=512 THEN 'intset' ELSE 'hashtable' END AS encoding FROM kv_set GROUP BY key")(lambda t: generic.encoding(t.sets(), "set"))
@@ -302,7 +308,8 @@ query("memory_usage", "SELECT key, CAST(64+sum(strlen(field)+strlen(value)) AS B
 _LON, _LAT = "floor((lon+180.0)/360.0*67108864)/67108864*360.0-180.0", "floor((lat+90.0)/180.0*67108864)/67108864*180.0-90.0"
 _HAV = "2*6372797.560856*asin(sqrt(least(pow(sin((radians({lat2})-radians({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2),1.0)))"
 _CELLS = f"SELECT member, {_LON} AS lon, {_LAT} AS lat FROM points"
-query("geo_geoadd_hash", "SELECT member, CAST(list_sum(list_transform(range(26), lambda b: ((CAST(floor((lon+180.0)/360.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b)) + ((CAST(floor((lat+90.0)/180.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b+1)))) AS BIGINT) AS cell FROM points")(lambda t: geo.add(t.points()).select("member", F.col("score").cast("long").alias("cell")))
+_CELL = "CAST(list_sum(list_transform(range(26), lambda b: ((CAST(floor((lon+180.0)/360.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b)) + ((CAST(floor((lat+90.0)/180.0*67108864) AS BIGINT)>>b)&1)*(CAST(1 AS BIGINT)<<(2*b+1)))) AS BIGINT)"
+query("geo_geoadd_hash", f"SELECT member, {_CELL} AS cell FROM points")(lambda t: geo.add(t.points()).select("member", F.col("score").cast("long").alias("cell")))
 query("geo_geopos", f"SELECT member, round(lon,6) AS lon, round(lat,6) AS lat FROM ({_CELLS})")(lambda t: geo.position(geo.add(t.points())).select("member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))
 
 
@@ -312,10 +319,14 @@ def _pairs(t: Tables) -> DataFrame:
 
 
 query("geo_geodist", f"WITH c AS ({_CELLS.replace('points', '(' + VIEWS['points'] + ')')}) SELECT x.c_name AS a, y.c_name AS b, round({_HAV.format(lat1='p.lat', lon1='p.lon', lat2='q.lat', lon2='q.lon')}/1000.0,3) AS km FROM customer x JOIN customer y ON y.c_custkey=x.c_custkey+1 JOIN c p ON p.member=x.c_name JOIN c q ON q.member=y.c_name")(lambda t: geo.distance(geo.add(t.points()), _pairs(t), "m").select("a", "b", F.round(F.col("distance") / 1000.0, 3).alias("km")))
-query("geo_geohash", None)(lambda t: geo.hash_text(geo.add(t.points())))
+query("geo_geohash", f"SELECT 'geo' AS key, member, array_to_string(list_transform(range(11), lambda i: substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(1+((cell>>CAST(5*i AS INTEGER))&31) AS INTEGER), 1)), '') AS hash FROM (SELECT member, {_CELL} AS cell FROM points)")(lambda t: geo.hash_text(geo.add(t.points())))
 _DIST = _HAV.format(lat1="lat", lon1="lon", lat2="10.0", lon2="20.0")
 query("geo_search_radius", f"SELECT member, round({_DIST},3) AS metres FROM ({_CELLS}) WHERE {_DIST}<=5000000")(lambda t: geo.search(geo.add(t.points()), 20.0, 10.0, 5000, "km").select("member", F.round("metres", 3).alias("metres")))
 query("geo_search_box", f"SELECT member, round({_DIST},3) AS metres FROM ({_CELLS}) WHERE {_DIST}<=1500000")(lambda t: geo.search_box(geo.add(t.points()), 20.0, 10.0, 3000, 2000, "km").select("member", F.round("metres", 3).alias("metres")))
+_SIDES = "lat AS la, lon AS lo, " + _HAV.format(lat1="lat", lon1="lon", lat2="lat", lon2="20.0") + " AS x, " + _HAV.format(lat1="lat", lon1="20.0", lat2="10.0", lon2="20.0") + " AS y"
+query("geo_search_true_box", f"SELECT member, round({_DIST},3) AS metres FROM (SELECT *, {_SIDES} FROM ({_CELLS})) WHERE x<=3000000 AND y<=1000000")(
+    lambda t: geo.search_box(geo.add(t.points()), 20.0, 10.0, 6000, 2000, "km", true_box=True).select("member", F.round("metres", 3).alias("metres"))
+)
 query("geo_searchstore", f"SELECT 'near' AS key, member FROM ({_CELLS}) WHERE {_DIST}<=5000000")(lambda t: geo.search_store(geo.add(t.points()), "near", geo.search(geo.add(t.points()), 20.0, 10.0, 5000, "km")).filter("key = 'near'").select("key", "member"))
 
 # Sketches: the estimate's error is the result.
@@ -344,14 +355,7 @@ query("stream_group_destroy", "SELECT DISTINCT key, 'g' AS grp FROM kv_stream WH
 _RG = f"SELECT *, row_number() OVER (PARTITION BY key ORDER BY id_ms,id_seq) AS r FROM kv_stream WHERE id_ms>{_LO} OR (id_ms={_LO} AND id_seq>0)"
 query("stream_readgroup", f"SELECT {_SC} FROM ({_RG}) WHERE r<=12")(lambda t: _cut(streams.group_read(t.stream(), _groups(t), "c1", NOW, 12)[0]))
 query("stream_readgroup_cursor", f"SELECT key, id_ms AS last_ms, id_seq AS last_seq FROM ({_RG}) WHERE r=12")(lambda t: streams.group_read(t.stream(), _groups(t), "c1", NOW, 12)[2].select("key", "last_ms", "last_seq"))
-_pel = lambda t: t.stream().filter("event_id % 4 = 0").select("key", F.lit("g").alias("grp"), "id_ms", "id_seq", F.concat(F.lit("c"), F.col("user_id") % 3).alias("consumer"), (F.col("id_ms") + 5).alias("delivery_ms"), F.lit(1).alias("delivery_count"), "event_id")
-query("stream_xack", "SELECT key, id_ms, id_seq FROM pel WHERE event_id%8<>0")(lambda t: streams.ack(_pel(t), _pel(t).filter("event_id % 8 = 0")).select("key", "id_ms", "id_seq"))
 _CLAIM_AT = 1704067200000 + 20 * 24 * 3600 * 1000
-query("stream_xclaim", f"SELECT key, id_ms, id_seq, CASE WHEN event_id%8=0 AND {_CLAIM_AT}-delivery_ms>=60000 THEN 'c9' ELSE consumer END AS consumer FROM pel")(lambda t: streams.claim(_pel(t), _pel(t).filter("event_id % 8 = 0"), "c9", 60000, _CLAIM_AT).select("key", "id_ms", "id_seq", "consumer"))
-query("stream_xautoclaim", f"SELECT key, id_ms, id_seq, CASE WHEN r<=9 AND idle THEN 'c9' ELSE consumer END AS consumer FROM (SELECT *, {_CLAIM_AT}-delivery_ms>=60000 AS idle, row_number() OVER (PARTITION BY key, {_CLAIM_AT}-delivery_ms>=60000 ORDER BY id_ms,id_seq) AS r FROM pel)")(lambda t: streams.auto_claim(_pel(t), "g", "c9", 60000, _CLAIM_AT, count=9).select("key", "id_ms", "id_seq", "consumer"))
-query("stream_xpending_summary", "SELECT key, grp, count(*) AS n, min(id_ms) AS lo_ms, max(id_ms) AS hi_ms, count(DISTINCT consumer) AS consumers FROM pel GROUP BY key, grp")(lambda t: streams.pending_summary(_pel(t)))
-query("stream_xpending_consumers", "SELECT key, grp, consumer, count(*) AS n FROM pel GROUP BY key, grp, consumer")(lambda t: streams.pending_by_consumer(_pel(t)))
-query("stream_xpending_detail", f"SELECT key, id_ms, id_seq, {_CLAIM_AT}-delivery_ms AS idle_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id_ms,id_seq) AS r FROM pel WHERE consumer='c1' AND {_CLAIM_AT}-delivery_ms>=0) WHERE r<=10")(lambda t: streams.pending(_pel(t), _CLAIM_AT, 0, "c1", 10).select("key", "id_ms", "id_seq", "idle_ms"))
 query("stream_xinfo", "SELECT key, count(*) AS length, min(id_ms) AS first_ms, max(id_ms) AS last_ms FROM kv_stream GROUP BY key")(lambda t: streams.info(t.stream()).select("key", "length", "first_ms", "last_ms"))
 query("stream_window_tumbling", "SELECT key, id_ms//3600000*3600000 AS window_ms, count(*) AS n FROM kv_stream GROUP BY 1,2")(lambda t: streams.tumbling(t.stream(), 3600000))
 query("stream_window_session", "SELECT key, min(id_ms) AS start_ms, max(id_ms) AS end_ms, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY id_ms,id_seq) AS part FROM (SELECT *, CASE WHEN id_ms-lag(id_ms) OVER (PARTITION BY key ORDER BY id_ms,id_seq)<=600000 THEN 0 ELSE 1 END AS s FROM kv_stream)) GROUP BY key, part")(lambda t: streams.sessions(t.stream(), 600000))
@@ -359,18 +363,9 @@ query("stream_rejected", "SELECT event_id FROM (SELECT event_id, struct_pack(a:=
 
 # Publish and subscribe.
 _msgs = lambda t: t.table("events").select(F.col("event_id").alias("seq"), F.concat(F.lit("ev."), F.col("event_type")).alias("channel"))
-_subs = lambda t: t.table("customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("client_id"), F.lit("channel").alias("kind"), F.when(F.col("c_custkey") % 100 == 0, "ev.click").otherwise("ev.view").alias("name"))
-_SUB = "SELECT c_custkey AS client_id, CASE WHEN c_custkey%100=0 THEN 'ev.click' ELSE 'ev.view' END AS name FROM customer WHERE c_custkey%50=0"
-query("pubsub_publish_channel", f"SELECT event_id AS seq, client_id FROM events JOIN ({_SUB}) ON name=concat('ev.',event_type)")(lambda t: pubsub.deliver_channels(_msgs(t), _subs(t)).select("seq", "client_id"))
 query("pubsub_publish_pattern", "SELECT event_id AS seq, client_id FROM events JOIN (SELECT 1 AS client_id, '^ev\\.c.*$' AS re UNION ALL SELECT 2, '^ev\\.[pv].*$') p ON regexp_matches(concat('ev.',event_type), re)")(lambda t: pubsub.deliver_patterns(_msgs(t), pubsub.with_regex(t.spark, [(1, "ev.c*"), (2, "ev.[pv]*")])).select("seq", F.col("client_id").cast("int").alias("client_id")))
-query("pubsub_numsub", f"SELECT channel, (SELECT count(DISTINCT client_id) FROM ({_SUB}) WHERE name=channel) AS n FROM (SELECT DISTINCT concat('ev.',event_type) AS channel FROM events)")(lambda t: pubsub.num_sub(_subs(t), _msgs(t)))
-query("pubsub_channels", f"SELECT DISTINCT name AS channel FROM ({_SUB}) WHERE name LIKE 'ev.c%'")(lambda t: pubsub.channels(_subs(t), "ev.c*"))
-query("pubsub_subscribe", f"SELECT DISTINCT client_id, name FROM ({_SUB})")(lambda t: pubsub.subscribe(_subs(t), _subs(t)).select("client_id", "name"))
-query("pubsub_unsubscribe", f"SELECT client_id, name FROM ({_SUB}) WHERE client_id%100<>0")(lambda t: pubsub.unsubscribe(_subs(t), _subs(t).filter("client_id % 100 = 0")).select("client_id", "name"))
 
 # Transactions and the log.
-_watch = lambda t: t.log().filter("seq % 11 = 0").select("client_id", F.concat(F.lit("u:"), F.col("client_id") % 10).alias("key"), F.col("seq").alias("watch_seq"), (F.col("seq") + 30).alias("exec_seq"))
-query("txn_watch_conflict", "SELECT DISTINCT w.client_id, w.seq+30 AS exec_seq FROM log w JOIN log x ON x.key=concat('u:',w.client_id%10) AND x.seq>w.seq AND x.seq<w.seq+30 AND x.client_id<>w.client_id WHERE w.seq%11=0")(lambda t: transactions.conflicts(_watch(t), t.log().select("seq", "client_id", "key")))
 
 
 def _txn_log(t: Tables) -> DataFrame:
@@ -394,29 +389,65 @@ query("log_fold_hash", f"SELECT key, member AS field, CAST(v AS VARCHAR) AS valu
 query("log_fold_zset", "SELECT key, member, CAST(sum(CASE WHEN cmd<>'DEL' THEN v END) AS DOUBLE) AS score FROM (SELECT *, max(CASE WHEN cmd IN ('SET','DEL') THEN seq END) OVER (PARTITION BY key, member) AS reset FROM (SELECT *, CAST(seq%3 AS VARCHAR) AS member FROM log)) WHERE reset IS NULL OR seq>=reset GROUP BY key, member HAVING sum(CASE WHEN cmd<>'DEL' THEN v END) IS NOT NULL")(lambda t: fold.scores(t.log().select("seq", F.when(F.col("cmd") == "SET", "ZADD").when(F.col("cmd") == "DEL", "ZREM").otherwise("ZINCRBY").alias("cmd"), "key", (F.col("seq") % 3).cast("string").alias("member"), F.col("v").cast("double").alias("v"))))
 query("log_fold_string", "SELECT concat('u:',user_id) AS key, string_agg(substr(event_type,1,1), '' ORDER BY event_id) AS value FROM events GROUP BY user_id")(lambda t: fold.strings(t.table("events").select(F.col("event_id").alias("seq"), F.lit("APPEND").alias("cmd"), F.concat(F.lit("u:"), F.col("user_id")).alias("key"), F.substring("event_type", 1, 1).alias("value"))))
 query("log_compact", "SELECT cmd, count(*) AS n FROM (SELECT 'SET' AS cmd FROM kv_string UNION ALL SELECT 'SADD' FROM (SELECT DISTINCT key, (row_number() OVER (PARTITION BY key ORDER BY member)-1)//64 AS part FROM kv_set)) GROUP BY cmd")(lambda t: fold.compact(t.strings(), t.sets()).groupBy("cmd").agg(F.count("*").alias("n")))
-query("log_fold_general", "SELECT key, count(*) AS n FROM (SELECT DISTINCT key, seq FROM log WHERE seq%2=0) GROUP BY key")(lambda t: fold.general(t.log().filter("seq % 2 = 0").select("seq", F.lit("RPUSH").alias("cmd"), "key", F.array(F.col("v").cast("string")).alias("argv"))).groupBy("key").agg(F.count("*").alias("n")))
 
-# The same operators over whole relations: every command of the log, every customer a subscriber, every log row a watch, every entry pending.
+# Over whole relations: every command of the log, every customer a subscriber, every log row a watch, every entry pending.
 _commands_of = lambda t: t.log().select("seq", "cmd", "key", F.when(F.col("cmd") == "DEL", F.array().cast("array<string>")).otherwise(F.array(F.col("v").cast("string"))).alias("argv"))
 _COUNTED = "SELECT key, CAST(sum(CASE WHEN cmd<>'DEL' THEN v END) AS BIGINT) AS n FROM (SELECT *, max(CASE WHEN cmd IN ('SET','DEL') THEN seq END) OVER (PARTITION BY key) AS reset FROM log) WHERE reset IS NULL OR seq>=reset GROUP BY key"
-query("log_fold_general_whole", f"SELECT key, CASE WHEN n IS NULL THEN 'none' ELSE 'string' END AS type, CAST(0 AS BIGINT) AS pos, CAST(n AS VARCHAR) AS value, CAST(0 AS BIGINT) AS errors FROM ({_COUNTED})")(lambda t: fold.general(_commands_of(t)))
+query("log_fold_general", f"SELECT key, CASE WHEN n IS NULL THEN 'none' ELSE 'string' END AS type, CAST(0 AS BIGINT) AS pos, CAST(n AS VARCHAR) AS value, CAST(0 AS BIGINT) AS errors FROM ({_COUNTED})")(lambda t: fold.general(_commands_of(t)))
 _CHANNELS = ("ev.click", "ev.view", "ev.purchase", "ev.signup", "ev.error")
-_all_subs = lambda t: t.table("customer").select(F.col("c_custkey").alias("client_id"), F.lit("channel").alias("kind"), F.element_at(F.array(*map(F.lit, _CHANNELS)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("name"))
-_ALL_SUB = "SELECT c_custkey AS client_id, CASE c_custkey%5 WHEN 0 THEN 'ev.click' WHEN 1 THEN 'ev.view' WHEN 2 THEN 'ev.purchase' WHEN 3 THEN 'ev.signup' ELSE 'ev.error' END AS name FROM customer"
-query("pubsub_publish_channel_whole", None)(lambda t: pubsub.deliver_channels(_msgs(t), _all_subs(t)).select("seq", "client_id"))
-query("pubsub_numsub_whole", f"SELECT channel, (SELECT count(DISTINCT client_id) FROM ({_ALL_SUB}) WHERE name=channel) AS n FROM (SELECT DISTINCT concat('ev.',event_type) AS channel FROM events)")(lambda t: pubsub.num_sub(_all_subs(t), _msgs(t)))
-query("pubsub_channels_whole", f"SELECT DISTINCT name AS channel FROM ({_ALL_SUB}) WHERE name LIKE 'ev.%e%'")(lambda t: pubsub.channels(_all_subs(t), "ev.*e*"))
-query("pubsub_subscribe_whole", f"SELECT DISTINCT client_id, name FROM ({_ALL_SUB})")(lambda t: pubsub.subscribe(_all_subs(t), _all_subs(t)).select("client_id", "name"))
-query("pubsub_unsubscribe_whole", f"SELECT client_id, name FROM ({_ALL_SUB}) WHERE name<>'ev.click'")(lambda t: pubsub.unsubscribe(_all_subs(t), _all_subs(t).filter("name = 'ev.click'")).select("client_id", "name"))
-_all_watch = lambda t: t.log().select("client_id", F.concat(F.lit("u:"), F.col("client_id") % 10).alias("key"), F.col("seq").alias("watch_seq"), (F.col("seq") + 30).alias("exec_seq"))
-query("txn_watch_conflict_whole", None)(lambda t: transactions.conflicts(_all_watch(t), t.log().select("seq", "client_id", "key")))
-_all_pel = lambda t: t.stream().select("key", F.lit("g").alias("grp"), "id_ms", "id_seq", F.concat(F.lit("c"), F.col("user_id") % 3).alias("consumer"), (F.col("id_ms") + 5).alias("delivery_ms"), F.lit(1).alias("delivery_count"), "event_id")
-query("stream_xack_whole", "SELECT key, id_ms, id_seq FROM pel_whole WHERE consumer<>'c1'")(lambda t: streams.ack(_all_pel(t), _all_pel(t).filter("consumer = 'c1'")).select("key", "id_ms", "id_seq"))
-query("stream_xclaim_whole", f"SELECT key, id_ms, id_seq, CASE WHEN {_CLAIM_AT}-delivery_ms>=60000 THEN 'c9' ELSE consumer END AS consumer FROM pel_whole")(lambda t: streams.claim(_all_pel(t), _all_pel(t), "c9", 60000, _CLAIM_AT).select("key", "id_ms", "id_seq", "consumer"))
-query("stream_xautoclaim_whole", f"SELECT key, id_ms, id_seq, CASE WHEN r<=9 AND idle THEN 'c9' ELSE consumer END AS consumer FROM (SELECT *, {_CLAIM_AT}-delivery_ms>=60000 AS idle, row_number() OVER (PARTITION BY key, {_CLAIM_AT}-delivery_ms>=60000 ORDER BY id_ms,id_seq) AS r FROM pel_whole)")(lambda t: streams.auto_claim(_all_pel(t), "g", "c9", 60000, _CLAIM_AT, count=9).select("key", "id_ms", "id_seq", "consumer"))
-query("stream_xpending_summary_whole", "SELECT key, grp, count(*) AS n, min(id_ms) AS lo_ms, max(id_ms) AS hi_ms, count(DISTINCT consumer) AS consumers FROM pel_whole GROUP BY key, grp")(lambda t: streams.pending_summary(_all_pel(t)))
-query("stream_xpending_consumers_whole", "SELECT key, grp, consumer, count(*) AS n FROM pel_whole GROUP BY key, grp, consumer")(lambda t: streams.pending_by_consumer(_all_pel(t)))
-query("stream_xpending_detail_whole", f"SELECT key, id_ms, id_seq, {_CLAIM_AT}-delivery_ms AS idle_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id_ms,id_seq) AS r FROM pel_whole WHERE consumer='c1' AND {_CLAIM_AT}-delivery_ms>=0) WHERE r<=10")(lambda t: streams.pending(_all_pel(t), _CLAIM_AT, 0, "c1", 10).select("key", "id_ms", "id_seq", "idle_ms"))
+_subs = lambda t: t.table("customer").select(F.col("c_custkey").alias("client_id"), F.lit("channel").alias("kind"), F.element_at(F.array(*map(F.lit, _CHANNELS)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("name"))
+_SUB = "SELECT c_custkey AS client_id, CASE c_custkey%5 WHEN 0 THEN 'ev.click' WHEN 1 THEN 'ev.view' WHEN 2 THEN 'ev.purchase' WHEN 3 THEN 'ev.signup' ELSE 'ev.error' END AS name FROM customer"
+# Each user has a channel, and each customer listens to that of one user.
+query("pubsub_publish_channel", "SELECT event_id AS seq, c_custkey AS client_id FROM events JOIN customer ON user_id=c_custkey")(
+    lambda t: pubsub.deliver_channels(
+        t.table("events").select(F.col("event_id").alias("seq"), F.concat(F.lit("u."), "user_id").alias("channel")),
+        t.table("customer").select(F.col("c_custkey").alias("client_id"), F.lit("channel").alias("kind"), F.concat(F.lit("u."), "c_custkey").alias("name")),
+    ).select("seq", "client_id")
+)
+query("pubsub_numsub", f"SELECT channel, (SELECT count(DISTINCT client_id) FROM ({_SUB}) WHERE name=channel) AS n FROM (SELECT DISTINCT concat('ev.',event_type) AS channel FROM events)")(lambda t: pubsub.num_sub(_subs(t), _msgs(t)))
+query("pubsub_channels", f"SELECT DISTINCT name AS channel FROM ({_SUB}) WHERE name LIKE 'ev.%e%'")(lambda t: pubsub.channels(_subs(t), "ev.*e*"))
+query("pubsub_subscribe", f"SELECT DISTINCT client_id, name FROM ({_SUB})")(lambda t: pubsub.subscribe(_subs(t), _subs(t)).select("client_id", "name"))
+query("pubsub_unsubscribe", f"SELECT client_id, name FROM ({_SUB}) WHERE name<>'ev.click'")(lambda t: pubsub.unsubscribe(_subs(t), _subs(t).filter("name = 'ev.click'")).select("client_id", "name"))
+_watch = lambda t: t.log().select("client_id", F.concat(F.lit("u:"), F.col("client_id") % 10).alias("key"), F.col("seq").alias("watch_seq"), (F.col("seq") + 30).alias("exec_seq"))
+query("txn_watch_conflict", "SELECT DISTINCT w.client_id, w.seq+30 AS exec_seq FROM log w JOIN log x ON x.key=concat('u:',w.client_id%10) AND x.seq>w.seq AND x.seq<w.seq+30")(lambda t: transactions.conflicts(_watch(t), t.log().select("seq", "client_id", "key")))
+_pel = lambda t: t.stream().select("key", F.lit("g").alias("grp"), "id_ms", "id_seq", F.concat(F.lit("c"), F.col("user_id") % 3).alias("consumer"), (F.col("id_ms") + 5).alias("delivery_ms"), F.lit(1).alias("delivery_count"), "event_id")
+query("stream_xack", "SELECT key, id_ms, id_seq FROM pel WHERE consumer<>'c1'")(lambda t: streams.ack(_pel(t), _pel(t).filter("consumer = 'c1'")).select("key", "id_ms", "id_seq"))
+query("stream_xclaim", f"SELECT key, id_ms, id_seq, CASE WHEN {_CLAIM_AT}-delivery_ms>=60000 THEN 'c9' ELSE consumer END AS consumer FROM pel")(lambda t: streams.claim(_pel(t), _pel(t), "c9", 60000, _CLAIM_AT).select("key", "id_ms", "id_seq", "consumer"))
+query("stream_xautoclaim", f"SELECT key, id_ms, id_seq, CASE WHEN r<=9 AND idle THEN 'c9' ELSE consumer END AS consumer FROM (SELECT *, {_CLAIM_AT}-delivery_ms>=60000 AS idle, row_number() OVER (PARTITION BY key, {_CLAIM_AT}-delivery_ms>=60000 ORDER BY id_ms,id_seq) AS r FROM pel)")(lambda t: streams.auto_claim(_pel(t), "g", "c9", 60000, _CLAIM_AT, count=9).select("key", "id_ms", "id_seq", "consumer"))
+query("stream_xpending_summary", "SELECT key, grp, count(*) AS n, min(id_ms) AS lo_ms, max(id_ms) AS hi_ms, count(DISTINCT consumer) AS consumers FROM pel GROUP BY key, grp")(lambda t: streams.pending_summary(_pel(t)))
+query("stream_xpending_consumers", "SELECT key, grp, consumer, count(*) AS n FROM pel GROUP BY key, grp, consumer")(lambda t: streams.pending_by_consumer(_pel(t)))
+query("stream_xpending_detail", f"SELECT key, id_ms, id_seq, {_CLAIM_AT}-delivery_ms AS idle_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id_ms,id_seq) AS r FROM pel WHERE consumer='c1' AND {_CLAIM_AT}-delivery_ms>=0) WHERE r<=10")(lambda t: streams.pending(_pel(t), _CLAIM_AT, 0, "c1", 10).select("key", "id_ms", "id_seq", "idle_ms"))
+
+# What one request gives twice, keys of several databases, keys of any type that have expired.
+_twice = lambda t: t.table("orders").select(F.concat(F.lit("nat:"), F.col("o_custkey") % 30).alias("key"), F.concat(F.lit("Customer#"), F.col("o_custkey") % 50).alias("member"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("ord"))
+_TWICE = "SELECT concat('nat:',o_custkey%30) AS key, concat('Customer#',o_custkey%50) AS member, o_totalprice AS score, o_orderkey AS ord FROM orders"
+query("zset_zadd_twice", f"SELECT coalesce(z.key,n.key) AS key, coalesce(z.member,n.member) AS member, coalesce(n.score,z.score) AS score FROM kv_zset z FULL JOIN (SELECT key, member, arg_max(score, ord) AS score FROM ({_TWICE}) GROUP BY key, member) n ON n.key=z.key AND n.member=z.member")(lambda t: zsets.add(t.zsets(), _twice(t)))
+_FIELDS = "SELECT concat('cust:',o_custkey) AS key, substr(o_orderpriority,1,1) AS field, CAST(o_orderkey AS VARCHAR) AS value, o_orderkey AS ord FROM orders"
+query("hash_hset_twice", f"SELECT key, field, value FROM kv_hash UNION ALL SELECT key, field, arg_max(value, ord) FROM ({_FIELDS}) GROUP BY key, field")(
+    lambda t: hashes.set_(t.hashes(), t.table("orders").select(F.concat(F.lit("cust:"), "o_custkey").alias("key"), F.substring("o_orderpriority", 1, 1).alias("field"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("ord"))).select("key", "field", "value")
+)
+_two_dbs = lambda t: t.keyspace().unionByName(t.strings().select(F.lit(1).alias("db"), "key", F.lit("hash").alias("type"), F.lit(None).cast("long").alias("expire_at_ms")))
+_TWO_DBS = "(SELECT * FROM live_keys UNION ALL SELECT 1, key, 'hash', NULL FROM kv_string)"
+_both = lambda t: t.table("customer").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("db"), F.concat(F.lit("cust:"), "c_custkey").alias("key"))
+query("key_type_two_dbs", f"SELECT d.db, concat('cust:',c_custkey) AS key, coalesce(k.type,'none') AS type FROM customer CROSS JOIN (SELECT 0 AS db UNION ALL SELECT 1) d LEFT JOIN {_TWO_DBS} k ON k.key=concat('cust:',c_custkey) AND k.db=d.db")(lambda t: generic.type_(_two_dbs(t), _both(t), NOW))
+query("key_expire_db", f"SELECT db, key, CASE WHEN db=1 AND key LIKE 'cust:%' THEN {NOW + 5} ELSE expire_at_ms END AS expire_at_ms FROM {_TWO_DBS}")(lambda t: generic.expire(_two_dbs(t), _both(t).filter("db = 1"), NOW + 5, NOW).select("db", "key", "expire_at_ms"))
+_odd = lambda df: df.withColumn("expire_at_ms", F.when(F.substring_index("key", ":", -1).try_cast("long") % 2 == 0, F.lit(NOW - 1)).otherwise(F.lit(NOW + 1)))
+_ODD = "coalesce(TRY_CAST(split_part(key,':',2) AS BIGINT)%2,1)<>0"
+query("set_smembers_expired", f"SELECT key, member FROM kv_set WHERE {_ODD}")(lambda t: visible(_odd(t.sets()), NOW).select("key", "member"))
+query("list_lrange_expired", f"SELECT key, element FROM kv_list WHERE i<=2 AND {_ODD}")(lambda t: lists.range_(visible(_odd(t.lists()), NOW), 0, 2).select("key", "element"))
+query("hash_hgetall_expired", f"SELECT key, field, value FROM kv_hash WHERE {_ODD} AND (fx IS NULL OR fx>={NOW})")(lambda t: visible(_odd(t.hashes()), NOW).select("key", "field", "value"))
+query("zset_zrange_expired", f"SELECT key, member, score FROM zranked WHERE rank<=4 AND {_ODD}")(lambda t: zsets.top(visible(_odd(t.zsets()), NOW), 5).select("key", "member", "score"))
+
+# Transactions that take effect: every client's commands come as WATCH, MULTI, two that are queued, EXEC.
+_acts = lambda t: t.log().withColumn("r", F.row_number().over(_by_client()) % 5).select("seq", "client_id", F.element_at(F.array(*map(F.lit, ("WATCH", "MULTI", "SET", "INCRBY", "EXEC"))), (F.col("r") + 1).cast("int")).alias("cmd"), F.concat(F.lit("u:"), F.col("client_id") % 10).alias("key"))
+_ACTS = "SELECT seq, client_id, row_number() OVER (PARTITION BY client_id ORDER BY seq)%5 AS r, concat('u:',client_id%10) AS key FROM log"
+query(
+    "txn_apply",
+    f"SELECT * FROM (WITH a AS ({_ACTS}), e AS (SELECT *, min(CASE WHEN r=4 THEN seq END) OVER w AS act, max(CASE WHEN r=1 THEN seq END) OVER b AS opened, max(CASE WHEN r=4 THEN seq END) OVER b AS closed, max(CASE WHEN r=0 THEN seq END) OVER b AS watched "
+    "FROM a WINDOW w AS (PARTITION BY client_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), b AS (PARTITION BY client_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "q AS (SELECT seq, client_id, key, act, CASE WHEN watched>coalesce(closed,-1) THEN watched END AS watched FROM e WHERE r IN (2,3) AND act IS NOT NULL AND opened>coalesce(closed,-1)) "
+    "SELECT seq, client_id, act AS \"at\" FROM q WHERE watched IS NULL OR NOT EXISTS (SELECT 1 FROM q x WHERE x.key=q.key AND x.act>q.watched AND x.act<q.act))",
+)(lambda t: transactions.apply(_acts(t)).select("seq", "client_id", "at"))
 
 # Cluster and scripts.
 _CRC = "list_reduce(list_prepend(0, list_transform(range(1, strlen(key)+1), lambda i: CAST(ascii(substr(key,i,1)) AS INTEGER))), lambda c, b: list_reduce(list_prepend(xor(c, b<<8), [1,1,1,1,1,1,1,1]), lambda x, y: CASE WHEN (x & 32768)<>0 THEN xor((x<<1)&65535, 4129) ELSE (x<<1)&65535 END))"
@@ -426,10 +457,10 @@ query("cluster_getkeysinslot", f"SELECT key FROM kv_string WHERE {_CRC}%16384=86
 query("cluster_slot_owner", f"SELECT key, CASE WHEN {_CRC}%16384<8192 THEN 'a' ELSE 'b' END AS node FROM kv_string")(lambda t: cluster.owners(t.strings(), t.spark.createDataFrame([("a", 0, 8191), ("b", 8192, 16383)], "node string, first int, last int")).select("key", "node"))
 query("cluster_fail_quorum", "SELECT event_type AS node, count(DISTINCT user_id%10) AS reporters FROM events WHERE value>50 GROUP BY 1 HAVING count(DISTINCT user_id%10)>=6")(lambda t: cluster.failed(t.table("events").filter("value > 50").select(F.col("event_type").alias("node"), (F.col("user_id") % 10).alias("reporter")), 10))
 query("sentinel_sdown_gap", "SELECT concat('u:',user_id) AS node, (SELECT max(epoch_us(ts)//1000) FROM events)-max(epoch_us(ts)//1000) AS gap_ms FROM events GROUP BY user_id HAVING (SELECT max(epoch_us(ts)//1000) FROM events)-max(epoch_us(ts)//1000)>30000")(lambda t: cluster.silent(t.log().select(F.col("key").alias("node"), F.col("ts_ms").alias("at_ms")), t.log().agg(F.max("ts_ms")).first()[0]))
-query("script_sha1", None)(lambda t: scripting.digests(t.table("documents").select(F.col("text").alias("src"))).select("sha1"))
+query("script_sha1", "SELECT sha1(text) AS sha1 FROM documents")(lambda t: scripting.digests(t.table("documents").select(F.col("text").alias("src"))).select("sha1"))
 
 
-@query("catalog_command_count", None)
+@query("catalog_command_count", "SELECT * FROM (VALUES " + ", ".join(f"('{f}','{n}',{a},'{k}',{str(s).lower()})" for f, n, a, k, s in command_rows()) + ") t(family, name, arity, kind, served)")
 def _commands(t: Tables) -> DataFrame:
     from keyloom.plans.commands import catalogue
 

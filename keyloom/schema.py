@@ -28,6 +28,14 @@ def live(as_of_ms: int, column: str = "expire_at_ms") -> Column:
     return F.col(column).isNull() | (F.col(column) >= as_of_ms)
 
 
+def visible(relation: DataFrame, as_of_ms: int) -> DataFrame:
+    """What reads of a relation of any type see at a time: no row of an expired key, nor an expired field of a hash."""
+    for c in ("expire_at_ms", "field_expire_at_ms"):
+        if c in relation.columns:
+            relation = relation.filter(live(as_of_ms, c))
+    return relation
+
+
 def keyspace(relations: dict[str, DataFrame]) -> DataFrame:
     """db, key, type, expire_at_ms: one row for each key of the relations."""
     parts = []

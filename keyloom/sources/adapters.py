@@ -59,7 +59,7 @@ class Tables:
 
     def keyspace(self) -> DataFrame:
         s = self.strings().select(F.lit(0).alias("db"), "key", F.lit("string").alias("type"), "expire_at_ms")
-        o = self.table("orders").filter("o_orderkey % 7 = 0").select(F.lit(0).alias("db"), F.concat(F.lit("ord:"), F.col("o_orderkey")).alias("key"), F.lit("list").alias("type"), F.lit(None).cast("long").alias("expire_at_ms"))
+        o = self.table("orders").select(F.lit(0).alias("db"), F.concat(F.lit("ord:"), F.col("o_orderkey")).alias("key"), F.lit("list").alias("type"), F.lit(None).cast("long").alias("expire_at_ms"))
         n = self.table("nation").select(F.lit(1).alias("db"), F.concat(F.lit("nat:"), F.col("n_nationkey")).alias("key"), F.lit("zset").alias("type"), F.lit(None).cast("long").alias("expire_at_ms"))
         return s.unionByName(o).unionByName(n)
 

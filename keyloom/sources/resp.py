@@ -70,12 +70,23 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_text(log: DataFrame) -> DataFrame:
-    """One column ``value``: each command (cmd, argv) encoded, for the text writer with an empty-safe line separator."""
-    args = F.concat(F.array("cmd"), "argv")
-    bulk = F.transform(args, lambda a: F.concat(F.lit("$"), F.octet_length(a).cast("string"), F.lit("\r\n"), a))
-    return log.select(F.concat(F.lit("*"), F.size(args).cast("string"), F.lit("\r\n"), F.array_join(bulk, "\r\n")).alias("value"))
+    """One column ``value``: each command (cmd, argv, and db if there is one) encoded, for the text writer.
+
+    A command of another database than 0 stands between two SELECTs, so a log may be cut into files anywhere.
+    """
+
+    def bulk(args):
+        each = F.transform(args, lambda a: F.concat(F.lit("$"), F.octet_length(a).cast("string"), F.lit("\r\n"), a))
+        return F.concat(F.lit("*"), F.size(args).cast("string"), F.lit("\r\n"), F.array_join(each, "\r\n"))
+
+    one = bulk(F.concat(F.array("cmd"), "argv"))
+    if "db" in log.columns:
+        select = lambda db: bulk(F.array(F.lit("SELECT"), db))
+        other = F.concat_ws("\r\n", select(F.col("db").cast("string")), one, select(F.lit("0")))
+        one = F.when(F.coalesce("db", F.lit(0)) == 0, one).otherwise(other)
+    return log.select(one.alias("value"))
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """Write a log (seq, cmd, argv) in order, as files that :func:`read_log` reads."""
+    """Write a log (seq, cmd, argv, and db if there is one) in order, as files that :func:`read_log` reads."""
     log_text(log.repartitionByRange("seq").sortWithinPartitions("seq")).write.option("lineSep", "\r\n").text(path)

@@ -37,10 +37,10 @@ def test_mget_and_expiry(spark):
 
 
 def test_set_only_if(spark):
-    s, new = kv(spark, key="original"), kv(spark, key="new", other="x")
-    assert cells(strings.set_(s, new, NOW, "nx"), "key", "value") == [("key", "original"), ("other", "x")]
+    s, new = kv(spark, key="first"), kv(spark, key="new", other="x")
+    assert cells(strings.set_(s, new, NOW, "nx"), "key", "value") == [("key", "first"), ("other", "x")]
     assert cells(strings.set_(s, new, NOW, "xx"), "key", "value") == [("key", "new")]
-    assert cells(strings.set_if_none(s, new, NOW), "key", "value") == [("key", "original")]
+    assert cells(strings.set_if_none(s, new, NOW), "key", "value") == [("key", "first")]
     with pytest.raises(ValueError):
         strings.set_(s, new, NOW, "no")
 
@@ -56,12 +56,12 @@ def test_increments(spark):
 
 
 def test_ranges_of_bytes(spark):
-    s = kv(spark, k="Hello World")
-    for (a, b), want in {(0, 4): "Hello", (6, 10): "World", (-5, -1): "World", (5, 2): "", (0, 100): "Hello World"}.items():
+    s = kv(spark, k="Amber Cloud")
+    for (a, b), want in {(0, 4): "Amber", (6, 10): "Cloud", (-5, -1): "Cloud", (5, 2): "", (0, 100): "Amber Cloud"}.items():
         assert strings.get_range(s, a, b, NOW).first().part == want
-    assert strings.set_range(s, 6, "There", NOW).first().value == "Hello There"
+    assert strings.set_range(s, 6, "There", NOW).first().value == "Amber There"
     assert strings.set_range(kv(spark, k="ab"), 4, "x", NOW).first().value == "ab\x00\x00x"
-    assert strings.append(kv(spark, k="Hello"), spark.createDataFrame([("k", 2, "d"), ("k", 1, " Worl")], "key string, ord int, tail string"), NOW).first().value == "Hello World"
+    assert strings.append(kv(spark, k="Amber"), spark.createDataFrame([("k", 2, "d"), ("k", 1, " Clou")], "key string, ord int, tail string"), NOW).first().value == "Amber Cloud"
 
 
 def test_lists(spark):
@@ -92,6 +92,11 @@ def test_hashes(spark):
     assert [r.code for r in hashes.persist(h, asked).orderBy("field").collect()] == [-1, 1, 1, -2]
     assert hashes.expired(h, asked, 10, NOW).count() == 0
     assert hashes.increment(h, spark.createDataFrame([("h", "f1", 5)], "key string, field string, delta long")).first().number == 6
+    odd = spark.createDataFrame([("h", "a", "x", None), ("h", "b", str(2**63 - 1), None)], "key string, field string, value string, field_expire_at_ms long")
+    got = {r.field: (r.number, bool(r.error)) for r in hashes.increment(odd, spark.createDataFrame([("h", f, 1) for f in "abc"], "key string, field string, delta long")).collect()}
+    assert got == {"a": (None, True), "b": (None, True), "c": (1, False)}
+    twice = spark.createDataFrame([("h", "z", "1", 1), ("h", "z", "0", 2)], "key string, field string, value string, ord int")
+    assert [hashes.set_(odd, twice, only_new=x).filter("field = 'z'").collect()[0].value for x in (False, True)] == ["0", "1"]
     assert hashes.as_map(h).first().fields == {"f1": "1", "f2": "v2", "f3": "v3"}
     assert hashes.random_fields(h, 2, 1).count() == 2 and hashes.random_fields(h, -7, 1).count() == 7
     assert cells(hashes.page(h, "f1", 1), "field") == [("f2",)]
@@ -129,15 +134,15 @@ def test_zsets(spark):
 
 
 def test_keys(spark):
-    ks = spark.createDataFrame([(0, "user:1", "string", None), (0, "user:2", "string", 999), (0, "item:1", "list", 61_500)], "db int, key string, type string, expire_at_ms long")
-    assert cells(generic.keys(ks, "user:*", NOW), "key") == [("user:1",)]
-    asked = spark.createDataFrame([("user:1",), ("user:2",), ("item:1",), ("none",)], "key string")
-    assert {r.key: r.ttl for r in generic.ttl(ks, asked, NOW).collect()} == {"user:1": -1, "user:2": -2, "item:1": 60, "none": -2}
-    s = kv(spark, src="value", dst="existing")
+    ks = spark.createDataFrame([(0, "shop:1", "string", None), (0, "shop:2", "string", 999), (0, "item:1", "list", 61_500)], "db int, key string, type string, expire_at_ms long")
+    assert cells(generic.keys(ks, "shop:*", NOW), "key") == [("shop:1",)]
+    asked = spark.createDataFrame([("shop:1",), ("shop:2",), ("item:1",), ("none",)], "key string")
+    assert {r.key: r.ttl for r in generic.ttl(ks, asked, NOW).collect()} == {"shop:1": -1, "shop:2": -2, "item:1": 60, "none": -2}
+    s = kv(spark, src="value", dst="taken")
     assert cells(generic.rename(s, "src", "dst"), "key", "value") == [("dst", "value")]
-    assert cells(generic.rename(s, "src", "dst", True), "key", "value") == [("dst", "existing"), ("src", "value")]
-    assert cells(generic.rename(s, "none", "dst"), "key", "value") == [("dst", "existing"), ("src", "value")]
-    assert cells(generic.copy(s, "src", "dst"), "value") == [("existing",), ("value",)] and cells(generic.copy(s, "src", "dst", True), "value") == [("value",), ("value",)]
+    assert cells(generic.rename(s, "src", "dst", True), "key", "value") == [("dst", "taken"), ("src", "value")]
+    assert cells(generic.rename(s, "none", "dst"), "key", "value") == [("dst", "taken"), ("src", "value")]
+    assert cells(generic.copy(s, "src", "dst"), "value") == [("taken",), ("value",)] and cells(generic.copy(s, "src", "dst", True), "value") == [("value",), ("value",)]
     e = {r.key: r.encoding for r in generic.encoding(kv(spark, i="12345", e="hello", r="x" * 50), "string").collect()}
     assert e == {"i": "int", "e": "embstr", "r": "raw"}
     many = spark.createDataFrame([("z", f"m{i}", 0.0) for i in range(129)], "key string, member string, score double")
@@ -170,7 +175,7 @@ def test_geo(spark):
 
 
 def test_sketch(spark):
-    df = spark.range(100).select(F.lit("h").alias("key"), F.concat(F.lit("element-"), "id").alias("element"))
+    df = spark.range(100).select(F.lit("h").alias("key"), F.concat(F.lit("part-"), "id").alias("element"))
     s = sketches.add(df)
     assert 90 <= sketches.count(s).first().estimate <= 110 and 90 <= sketches.count_together(s.union(s)).first().estimate <= 110
 
@@ -202,3 +207,45 @@ def test_pubsub_and_scripts(spark):
     scripts.flush()
     with pytest.raises(NoScript):
         scripts.run(sha, {}, [], [])
+
+
+def test_member_given_twice(spark):
+    z = spark.createDataFrame([("z", "a", 3.0)], "key string, member string, score double")
+    new = spark.createDataFrame([("z", "a", 5.0, 1), ("z", "a", 2.0, 2), ("z", "b", 7.0, 3), ("z", "b", 1.0, 4)], "key string, member string, score double, ord int")
+    for kind, want in (({}, [2.0, 1.0]), ({"only": "nx"}, [3.0, 7.0]), ({"only": "xx"}, [2.0]), ({"better": "gt"}, [5.0, 7.0]), ({"better": "lt"}, [2.0, 1.0]), ({"incr": True}, [10.0, 8.0])):
+        assert [r.score for r in zsets.add(z, new, **kind).orderBy("member").collect()] == want
+
+
+def test_cells_near_a_point_hold_the_circle():
+    import math
+    import random
+
+    from keyloom.functions import geohash as G
+
+    random.seed(3)
+    cell = lambda lon, lat: sum((int((lon + 180) / 360 * 2**26) >> i & 1) << 2 * i | (int((lat + 90) / 180 * 2**26) >> i & 1) << 2 * i + 1 for i in range(26))
+    for _ in range(300):
+        lon, lat, metres = random.uniform(-180, 180), random.uniform(-85, 85), 10 ** random.uniform(0, 7.3)
+        ranges = G.near_cells(lon, lat, metres)
+        assert 0 < len(ranges) < 80
+        for _ in range(40):
+            d, b = random.uniform(0, min(metres / G.RADIUS, math.pi)), random.uniform(0, 2 * math.pi)
+            y = math.asin(math.sin(math.radians(lat)) * math.cos(d) + math.cos(math.radians(lat)) * math.sin(d) * math.cos(b))
+            x = math.radians(lon) + math.atan2(math.sin(b) * math.sin(d) * math.cos(math.radians(lat)), math.cos(d) - math.sin(math.radians(lat)) * math.sin(y))
+            at = cell((math.degrees(x) + 180) % 360 - 180, math.degrees(y))
+            assert any(lo <= at <= hi for lo, hi in ranges)
+
+
+def test_transactions_take_effect(spark):
+    from keyloom.operators import transactions
+
+    log = [
+        (1, 1, "WATCH", "a"), (2, 1, "MULTI", None), (3, 1, "SET", "x"), (4, 2, "SET", "a"), (5, 1, "EXEC", None),  # another wrote a
+        (6, 1, "WATCH", "a"), (7, 1, "SET", "a"), (8, 1, "MULTI", None), (9, 1, "SET", "y"), (10, 1, "EXEC", None),  # so did the watcher
+        (11, 1, "WATCH", "a"), (12, 1, "SET", "a"), (13, 1, "UNWATCH", None), (14, 1, "MULTI", None), (15, 1, "SET", "z"), (16, 1, "EXEC", None),
+        (17, 3, "MULTI", None), (18, 3, "SET", "q"), (19, 3, "DISCARD", None), (20, 3, "MULTI", None), (21, 3, "SET", "r"), (22, 3, "SET", "a"), (24, 3, "EXEC", None),
+        (23, 4, "WATCH", "a"), (25, 4, "MULTI", None), (26, 4, "SET", "s"), (27, 4, "EXEC", None),  # r and a were written at 24
+        (28, 5, "MULTI", None), (29, 5, "SET", "never"), (30, 6, "WATCH", "b"), (31, 6, "MULTI", None), (32, 6, "SET", "b"), (33, 6, "EXEC", None),
+    ]
+    got = transactions.apply(spark.createDataFrame(log, "seq long, client_id long, cmd string, key string")).collect()
+    assert sorted((r.seq, r.at) for r in got) == [(4, 4), (7, 7), (12, 12), (15, 16), (21, 24), (22, 24), (32, 33)]
