@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -84,6 +85,9 @@ def automaton(word: str, trie: Trie, edits: int = 1) -> tuple[str, int] | None:
     return (best[2], best[0]) if best else None
 
 
+_held: dict[str, Lexicon] = {}
+
+
 @dataclass
 class Lexicon:
     """Terms with their precision, how far a misspelling of each is trusted, and words that are none."""
@@ -97,40 +101,56 @@ class Lexicon:
         self.trie = Trie({t: o for t, (o, _) in self.terms.items()})
         # One edit (or swap) leaves the first or the last half of a term's letters as they were; those of a stem may
         # then lie one to either side of their place.
-        self.heads: dict[int, set[str]] = defaultdict(set)
-        self.tails: dict[int, set[str]] = defaultdict(set)
-        self.inside: dict[tuple[int, int], set[str]] = defaultdict(set)
-        self.letters = frozenset(t[:1] for t, (is_open, _) in self.terms.items() if is_open)
+        self.stems = frozenset(t for t, (is_open, _) in self.terms.items() if is_open)
+        self.stem_lengths = sorted({len(t) for t in self.stems})
+        near: dict[int, dict[int, tuple[set[str], set[str]]]] = defaultdict(lambda: defaultdict(lambda: (set(), set())))
+        halves: dict[tuple, set[tuple[str, str]]] = defaultdict(set)
         for t, (is_open, _) in self.terms.items():
             n = max(2, (len(t) - 1) // 2)
-            self.heads[n].add(t[:n])
-            if is_open:
+            if not is_open:
+                for length in range(len(t) - 1, len(t) + 2):
+                    near[length][n][0].add(t[:n])
+                    near[length][n][1].add(t[-n:])
+            elif len(t) > 4:
+                halves["first", 0, n, len(t)].add((t[:n], t))
                 for at in range(len(t) - n - 1, len(t) - n + 2):
-                    self.inside[at, at + n].add(t[-n:])
-            else:
-                self.tails[n].add(t[-n:])
-        self.heads, self.tails, self.inside = dict(self.heads), dict(self.tails), dict(self.inside)
+                    halves["last", at, at + n, len(t)].add((t[-n:], t))
+        self.near = {length: [(n, h, t) for n, (h, t) in by.items()] for length, by in near.items()}
+        self.halves = {(i, j): frozenset(x for key in halves if key[1:3] == (i, j) for x, _ in halves[key]) for _, i, j, _ in halves}
+        self.begins = frozenset(t[:1] for t in self.stems)
+        self.letters = {t: Counter(t) for t in self.stems}
         self.seen: dict[str, tuple[str, int] | None] = {}
+        self.key = uuid.uuid4().hex
+
+    def held(self) -> Lexicon:
+        """This lexicon as the worker process holds it, so that its tasks share what words gave."""
+        if self.key not in _held:
+            _held.clear()
+            _held[self.key] = self
+        return _held[self.key]
+
+    def possible(self, plain: str) -> bool:
+        """Whether the letters of a word leave a term within one edit possible."""
+        if any(plain[:n] in self.stems for n in self.stem_lengths):
+            return True
+        if any(plain[:n] in h or plain[-n:] in t for n, h, t in self.near.get(len(plain), ())):
+            return True
+        if plain[:1] not in self.begins or not any(plain[i:j] in x for (i, j), x in self.halves.items()):
+            return False
+        # A stem within one edit has at most one letter that the word's beginning lacks.
+        return any(plain[0] == t[0] and (letters - Counter(plain[: len(t) + 1])).total() <= 1 for t, letters in self.letters.items())
 
     def look(self, word: str) -> tuple[str, int] | None:
-        """The term that a lower-case word is or misspells, and the distance.
+        """The term that a lower-case word is or misspells, and the distance; what a word gave is kept.
 
-        Only words whose letters leave a term within one edit possible are run against the trie; what a word
-        gave is kept.
+        Only words whose letters leave a term possible are run against the trie.
         """
         if word in self.seen:
             return self.seen[word]
         plain = word if word.isalpha() else word.translate(LEET)
-        found = None
-        if (
-            any(plain[:n] in h for n, h in self.heads.items())
-            or any(plain[-n:] in t for n, t in self.tails.items())
-            or plain[:1] in self.letters
-            and any(plain[i:j] in t for (i, j), t in self.inside.items())
-        ):
-            found = automaton(plain, self.trie)
-            if found:
-                found = found[0], max(found[1], int(plain != word))
+        found = automaton(plain, self.trie) if self.possible(plain) else None
+        if found:
+            found = found[0], max(found[1], int(plain != word))
         if len(self.seen) >= KEPT_WORDS:
             self.seen.clear()
         if len(word) <= KEPT_LENGTH:
@@ -261,8 +281,9 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     hit = pa.list_(pa.struct([("term", pa.string()), ("word", pa.string()), ("edits", pa.int32()), ("start", pa.int64()), ("context", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lexicon.held()
         for b in small_batches(batches):
-            found = [lexicon.score(t) for t in texts(b)]
+            found = [of.score(t) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([h for _, h in found], hit)], ["doc_id", "score", "hits"])
 
     return two(docs, key, text).mapInArrow(run, "doc_id long, score double, hits array<struct<term:string,word:string,edits:int,start:long,context:double>>")
@@ -286,7 +307,8 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lexicon.held()
         for b in small_batches(batches):
-            yield b.filter(pa.array([lexicon.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([of.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
