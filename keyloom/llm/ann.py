@@ -5,8 +5,8 @@ and then perturbed ones in estimated success order: each function's hash may mov
 at a score that is the squared distance to that side's border, and sets of moves are taken by rising total
 score. Candidates of all tables are merged and ranked by exact distance.
 
-Every row is indexed. The number of functions, W and the number of probes are fitted, on a bounded sample of rows: those
-whose recall on the sample reaches the target with the least work. Buckets are joined in cells of
+Every row is indexed. Only W and the number of probes are fitted, on a bounded sample of rows: the fewest
+probes (a power of two) whose recall on the sample reaches the target. Buckets are joined in cells of
 bounded size, the rows of a large bucket being dealt over several, so no task holds a whole one.
 
 A query that finds fewer than k rows so is compared with all rows, exactly, in cells of the same size.
@@ -26,8 +26,6 @@ from keyloom.llm.common import written
 
 #: Rows (and queries) of a bucket that meet in one cell.
 CELL_ROWS, CELL_QUERIES = 8192, 1024
-#: Buckets of a table that a query visits at most; queries that visit fewer than k rows are compared with all.
-PROBES = 256
 
 
 def valid(c: Column) -> Column:
@@ -137,57 +135,30 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return d
 
 
-def fit(sample: np.ndarray, k: int, rows: int | None = None, tables: int = 4, target: float = 0.96, seed: int = 7) -> Index:
-    """Functions, W and probes that reach the target recall on the sample and compare the fewest of ``rows`` rows.
+def fit(sample: np.ndarray, k: int, tables: int = 4, functions: int = 5, target: float = 0.96, seed: int = 7) -> Index:
+    """W from the sample's spread, and the fewest probes of a table (a power of two, at most all) that reach the target recall on it.
 
-    A table may have from 4 up to about log2(rows) functions, W be from 0.9 to 1.8 times the sample's spread, and the
-    probes of a table any power of two up to PROBES; what misses the target isn't tried with more functions. Of settings that reach the target the one that visits the least
-    share of the sample is taken, a quarter of a row being charged for each probe; where none does, the one nearest to it.
-    ``share`` and ``recall`` of the index tell what the sample gave.
+    ``share`` of the index is the part of the sample that a query is compared with.
     """
     dim = sample.shape[1] if len(sample) else 1
     if not len(sample):
-        return Index(dim, tables, 4, 1.0, 1, seed)
+        return Index(dim, tables, functions, 1.0, 1, seed)
     scale = float(np.abs(sample).max())
     spread = scale * float(np.sqrt((sample / scale).var(axis=0).sum()))
+    index = Index(dim, tables, functions, max(1.8 * spread, 1e-300), 3**functions, seed)
     asked = np.arange(0, len(sample), max(1, len(sample) // 64))
-    true = {i: near for i, near, _ in nearest(sample[asked], sample, np.arange(len(sample)), asked, k)}
-    rows = max(rows or len(sample), 16)
-    best = None
-    for functions in range(4, max(4, min(16, int(np.log2(rows)))) + 1, 2):
-        reached = False
-        for width in (1.8, 1.3, 0.9):
-            index = Index(dim, tables, functions, max(width * spread, 1e-300), min(PROBES, 3**functions), seed)
-            if not any(len(x) for x in true.values()):
-                return index
-            held = index.keys(index.places(sample)[0])
-            probed = index.probed(sample[asked], flat=False)  # query, table, probe: in visiting order
-            at = np.full((len(asked), len(sample)), index.probes)  # how many probes it takes to meet each row
-            for i, keys in enumerate(probed):
-                for t in range(tables):
-                    order = np.argsort(keys[t], kind="stable")
-                    found = np.searchsorted(keys[t], held[:, t], sorter=order)
-                    found = order[np.minimum(found, len(order) - 1)]
-                    at[i] = np.where(keys[t][found] == held[:, t], np.minimum(at[i], found), at[i])
-            probes = 1
-            while True:
-                recall = np.mean([(at[i][near] < probes).mean() for i, near in true.items() if len(near)])
-                share = float((at < probes).mean())
-                cost = share + 0.25 * tables * probes / rows
-                key = (max(0.0, target - recall), cost)
-                if best is None or key < best[0]:
-                    best = key, (functions, width, probes, float(recall), share)
-                if recall >= target or probes >= index.probes:
-                    break
-                probes = min(2 * probes, index.probes)
-            reached |= recall >= target
-            if recall < target:
-                break
-        if not reached:
-            break
-    functions, width, probes, recall, share = best[1]
-    index = Index(dim, tables, functions, max(width * spread, 1e-300), probes, seed)
-    index.recall, index.share = recall, share
+    true = {i: near for i, near, _ in nearest(sample[asked], sample, np.arange(len(sample)), asked, k) if len(near)}
+    held = index.keys(index.places(sample)[0])
+    at = np.full((len(asked), len(sample)), index.probes)  # how many probes it takes to meet each row
+    for i, keys in enumerate(index.probed(sample[asked], flat=False)):
+        for t in range(tables):
+            order = np.argsort(keys[t], kind="stable")
+            found = order[np.minimum(np.searchsorted(keys[t], held[:, t], sorter=order), len(order) - 1)]
+            at[i] = np.where(keys[t][found] == held[:, t], np.minimum(at[i], found), at[i])
+    index.probes = 1
+    while index.probes < 3**functions and true and np.mean([(at[i][near] < index.probes).mean() for i, near in true.items()]) < target:
+        index.probes *= 2
+    index.share = float((at < index.probes).mean())
     return index
 
 
@@ -210,7 +181,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     rows = [r.v for r in base.select("v", "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]
     dims = [len(v) for v in rows]
     dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 1
-    index = fit(np.array([v for v in rows if len(v) == dim]).reshape(-1, dim), k, base.count(), target=target)
+    index = fit(np.array([v for v in rows if len(v) == dim]).reshape(-1, dim), k, target=target)
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
 
     def matrix(b: pa.RecordBatch | pa.Table) -> np.ndarray:

@@ -86,8 +86,13 @@ def rows():
 
 
 def test_ngram_join(spark, rows):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    found = ngram_join.ngram_join(frame(spark, rows)).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
     assert got == brute_join(rows)
+    sets = dict(zip([k for k, _ in rows], (set(s.tolist()) for s in ngram_join.shingle_sets([t or "" for _, t in rows]))))
+    links = {k: sum(100 * len(s & x) >= 80 * len(s | x) for j, x in sets.items() if j != k and s & x) for k, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in found} == links and max(links.values()) > 20
+    assert ngram_join.ngram_join(frame(spark, rows), counted=False).columns == ["doc_id", "n_shingles", "component_id"]
     assert ngram_join.ngram_join(frame(spark, rows).limit(0)).count() == 0
 
 
