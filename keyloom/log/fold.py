@@ -2,17 +2,16 @@
 
 What has an algebra is folded by aggregates: a key's rows before its last reset don't count, increments
 after it are summed, and the last operation on a member or field wins. Strings whose order matters go
-through one native sequential fold for each key; anything else through a Python fold of the key's commands.
+through one native sequential fold for each key; anything else through the interpreter, see ``replay``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.log.replay import in_order
+
 
 def counters(log: DataFrame) -> DataFrame:
     """key, value of SET, INCRBY and DEL (seq, cmd, key, v): sums after the last reset."""
@@ -53,80 +52,10 @@ def strings(log: DataFrame) -> DataFrame:
     return g.select("key", F.aggregate("ops", F.lit(None).cast("string"), merge).alias("value")).filter("value is not null")
 
 
-class Interpreter:
-    """One keyspace in memory, a command at a time: the meaning that the folds above must match."""
-
-    def __init__(self) -> None:
-        self.strings: dict[str, str] = {}
-        self.lists: dict[str, list[str]] = {}
-
-    def apply(self, cmd: str, key: str, args: list[str]) -> str | None:
-        """Run a command; an error is returned as text and changes nothing."""
-        s, q = self.strings, self.lists
-        try:
-            if cmd in ("SET", "SETNX", "APPEND", "INCRBY", "GETSET") and key in q and cmd != "SET":
-                return "wrong type"
-            if cmd in ("LPUSH", "RPUSH", "LPOP", "RPOP", "LSET", "LREM") and key in s:
-                return "wrong type"
-            if cmd == "SET" or cmd == "GETSET":
-                q.pop(key, None)
-                s[key] = args[0]
-            elif cmd == "SETNX":
-                s.setdefault(key, args[0])
-            elif cmd == "APPEND":
-                s[key] = s.get(key, "") + args[0]
-            elif cmd == "INCRBY":
-                n = int(s.get(key, "0")) + int(args[0])
-                if not -(2**63) <= n < 2**63:
-                    return "overflow"
-                s[key] = str(n)
-            elif cmd == "DEL":
-                s.pop(key, None)
-                q.pop(key, None)
-            elif cmd == "LPUSH":
-                q[key] = args[::-1] + q.get(key, [])
-            elif cmd == "RPUSH":
-                q[key] = q.get(key, []) + args
-            elif cmd in ("LPOP", "RPOP"):
-                if q.get(key):
-                    q[key].pop(0 if cmd == "LPOP" else -1)
-            elif cmd == "LSET":
-                q[key][int(args[0])] = args[1]
-            elif cmd == "LREM":
-                n, rows = int(args[0]), q.get(key, [])
-                order = range(len(rows)) if n >= 0 else range(len(rows) - 1, -1, -1)
-                hits = [i for i in order if rows[i] == args[1]]
-                gone = set(hits[: abs(n)] if n else hits)
-                q[key] = [x for i, x in enumerate(rows) if i not in gone]
-            else:
-                return f"unknown command {cmd}"
-            if key in q and not q[key]:
-                del q[key]
-        except (ValueError, KeyError, IndexError) as e:
-            return f"{type(e).__name__}: {e}"
-        return None
-
-
 def general(log: DataFrame) -> DataFrame:
-    """key, type, pos, value, errors after any single-key commands (seq, cmd, key, argv); a key's commands are one group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        key, at, errors = pdf["key"].iloc[0], Interpreter(), 0
-        for cmd, argv in zip(pdf["cmd"], pdf["argv"]):
-            errors += at.apply(cmd, key, list(argv)) is not None
-        rows = [(key, "string", 0, at.strings[key], errors)] if key in at.strings else [(key, "list", i, x, errors) for i, x in enumerate(at.lists.get(key, []))]
-        return pd.DataFrame(rows or [(key, "none", 0, None, errors)], columns=["key", "type", "pos", "value", "errors"])
-
-    return log.groupBy("key").applyInPandas(fold, "key string, type string, pos long, value string, errors long")
-
-
-def compact(strings_: DataFrame, members_: DataFrame) -> DataFrame:
-    """seq, cmd, argv: the shortest log that builds the relations again. Sets are added 64 members a command."""
-    s = strings_.select(F.lit("SET").alias("cmd"), F.array("key", F.col("value").cast("string")).alias("argv"))
-    by = Window.partitionBy("key").orderBy("member")
-    m = members_.withColumn("part", F.floor((F.row_number().over(by) - 1) / 64)).groupBy("key", "part").agg(F.array_sort(F.collect_list("member")).alias("ms"))
-    m = m.select(F.lit("SADD").alias("cmd"), F.concat(F.array("key"), "ms").alias("argv"))
-    return s.unionByName(m).withColumn("seq", F.monotonically_increasing_id())
-
+    """key, type, pos, value, errors after any commands on one key (seq, cmd, key, argv without it), run in order as a stream.
 
+    Strings and lists come with their value, fields and members of other types in ``value`` likewise.
+    """
+    rows = log.select("seq", F.lit(0).alias("db"), "cmd", F.concat(F.array("key"), "argv").alias("argv"), F.lit(0).cast("long").alias("ts_ms"), "key")
+    return in_order(rows, "key", ["seq"]).select("key", "type", "pos", F.coalesce("value", "field").alias("value"), "errors")

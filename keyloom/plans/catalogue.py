@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.log import fold
+from keyloom.log import fold, replay
 from keyloom.operators import cluster, generic, geo, hashes, lists, pubsub, scripting, sets, sketches, streams, strings, transactions, zsets
 from keyloom.plans.commands import rows as command_rows
 from keyloom.schema import visible
@@ -388,7 +388,54 @@ query("log_fold_set", f"SELECT key, member FROM ({_LAST}) WHERE cmd='SADD'")(lam
 query("log_fold_hash", f"SELECT key, member AS field, CAST(v AS VARCHAR) AS value FROM ({_LAST}) WHERE cmd='SADD'")(lambda t: fold.fields(_mlog(t).select("seq", F.when(F.col("cmd") == "SADD", "HSET").when(F.col("cmd") == "SREM", "HDEL").otherwise("DEL").alias("cmd"), "key", F.col("member").alias("field"), "v")))
 query("log_fold_zset", "SELECT key, member, CAST(sum(CASE WHEN cmd<>'DEL' THEN v END) AS DOUBLE) AS score FROM (SELECT *, max(CASE WHEN cmd IN ('SET','DEL') THEN seq END) OVER (PARTITION BY key, member) AS reset FROM (SELECT *, CAST(seq%3 AS VARCHAR) AS member FROM log)) WHERE reset IS NULL OR seq>=reset GROUP BY key, member HAVING sum(CASE WHEN cmd<>'DEL' THEN v END) IS NOT NULL")(lambda t: fold.scores(t.log().select("seq", F.when(F.col("cmd") == "SET", "ZADD").when(F.col("cmd") == "DEL", "ZREM").otherwise("ZINCRBY").alias("cmd"), "key", (F.col("seq") % 3).cast("string").alias("member"), F.col("v").cast("double").alias("v"))))
 query("log_fold_string", "SELECT concat('u:',user_id) AS key, string_agg(substr(event_type,1,1), '' ORDER BY event_id) AS value FROM events GROUP BY user_id")(lambda t: fold.strings(t.table("events").select(F.col("event_id").alias("seq"), F.lit("APPEND").alias("cmd"), F.concat(F.lit("u:"), F.col("user_id")).alias("key"), F.substring("event_type", 1, 1).alias("value"))))
-query("log_compact", "SELECT cmd, count(*) AS n FROM (SELECT 'SET' AS cmd FROM kv_string UNION ALL SELECT 'SADD' FROM (SELECT DISTINCT key, (row_number() OVER (PARTITION BY key ORDER BY member)-1)//64 AS part FROM kv_set)) GROUP BY cmd")(lambda t: fold.compact(t.strings(), t.sets()).groupBy("cmd").agg(F.count("*").alias("n")))
+
+
+def _state_log(t: Tables) -> DataFrame:
+    """at, ord, db, cmd, argv: five commands for each event, a flush of database 1 halfway, and in the end a new name for each counter."""
+    text = lambda c: F.col(c).cast("string")
+    row = lambda n, db, cmd, *argv: F.struct(F.lit(n).alias("ord"), F.lit(db).alias("db"), cmd.alias("cmd"), F.array(*argv).alias("argv"))
+    key = lambda kind: F.concat(F.lit(kind), "user_id")
+    e = t.table("events").withColumn("v", F.round(F.col("value") * 100).cast("long"))
+    counter = F.element_at(F.array(*map(F.lit, ("SET", "INCRBY", "INCRBY", "DEL", "INCRBY"))), (F.col("event_id") % 5 + 1).cast("int"))
+    argv = F.when(counter == "DEL", F.array(key("u:"))).otherwise(F.array(key("u:"), text("v")))
+    five = F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit(0).alias("db"), counter.alias("cmd"), argv.alias("argv")),
+        row(1, 0, F.when(F.col("event_id") % 7 == 0, "SREM").otherwise("SADD"), key("s:"), F.col("event_type")),
+        row(2, 1, F.lit("HSET"), key("h:"), F.col("event_type"), text("v")),
+        row(3, 0, F.lit("ZADD"), key("z:"), text("v"), F.col("event_type")),
+        row(4, 0, F.lit("RPUSH"), key("l:"), F.col("event_type")),
+    )
+    last = F.lit(2**63 - 1)
+    flush = e.agg(F.expr("max(event_id) div 2").alias("at")).select("at", F.lit(9).alias("ord"), F.lit(1).alias("db"), F.lit("FLUSHDB").alias("cmd"), F.array().cast("array<string>").alias("argv"))
+    names = e.select("user_id").distinct().select(last.alias("at"), F.lit(0).alias("ord"), F.lit(0).alias("db"), F.lit("RENAME").alias("cmd"), F.array(key("u:"), key("v:")).alias("argv"))
+    return e.select(F.col("event_id").alias("at"), F.inline(five)).unionByName(flush).unionByName(names)
+
+
+def _relations(t: Tables) -> dict[str, DataFrame]:
+    """The relations in databases of their own, since some names are used twice."""
+    own = {"kv_string": (0, t.strings()), "kv_list": (0, t.lists()), "kv_hash": (1, t.hashes()), "kv_set": (2, t.sets()), "kv_zset": (3, t.zsets())}
+    return {name: df.withColumn("db", F.lit(db)) for name, (db, df) in own.items()}
+
+
+_EVENTS = "SELECT *, CAST(round(value*100) AS BIGINT) AS v FROM events"
+query(
+    "log_replay",
+    "SELECT 0 AS db, replace(key, 'u:', 'v:') AS key, 'string' AS type, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS field, CAST(n AS VARCHAR) AS value, CAST(NULL AS DOUBLE) AS score"
+    " FROM (SELECT key, CAST(sum(CASE WHEN cmd<>'DEL' THEN v END) AS BIGINT) AS n"
+    " FROM (SELECT *, max(CASE WHEN cmd IN ('SET','DEL') THEN seq END) OVER (PARTITION BY key) AS reset FROM log) WHERE reset IS NULL OR seq>=reset GROUP BY key) WHERE n IS NOT NULL"
+    " UNION ALL SELECT 0, concat('s:',user_id), 'set', NULL, event_type, NULL, NULL FROM events GROUP BY user_id, event_type HAVING arg_max(event_id%7, event_id)<>0"
+    f" UNION ALL SELECT 1, concat('h:',user_id), 'hash', NULL, event_type, CAST(arg_max(v, event_id) AS VARCHAR), NULL FROM ({_EVENTS}) WHERE event_id>(SELECT max(event_id)//2 FROM events) GROUP BY user_id, event_type"
+    f" UNION ALL SELECT 0, concat('z:',user_id), 'zset', NULL, event_type, NULL, CAST(arg_max(v, event_id) AS DOUBLE) FROM ({_EVENTS}) GROUP BY user_id, event_type"
+    " UNION ALL SELECT 0, concat('l:',user_id), 'list', row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1, NULL, event_type, NULL FROM events",
+)(lambda t: replay.replay(_state_log(t), 0, ("at", "ord")).drop("fields", "expire_at_ms"))
+query(
+    "log_compact",
+    "SELECT 0 AS db, key, 'string' AS type, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS field, value, CAST(NULL AS DOUBLE) AS score, expire_at_ms FROM live_string"
+    " UNION ALL SELECT 0, key, 'list', i, NULL, element, NULL, NULL FROM kv_list"
+    " UNION ALL SELECT 1, key, 'hash', NULL, field, value, NULL, NULL FROM kv_hash"
+    " UNION ALL SELECT 2, key, 'set', NULL, member, NULL, NULL, NULL FROM kv_set"
+    " UNION ALL SELECT 3, key, 'zset', NULL, member, NULL, CAST(score AS DOUBLE), NULL FROM kv_zset",
+)(lambda t: replay.replay(replay.compact(_relations(t)), NOW).drop("fields"))
 
 # Over whole relations: every command of the log, every customer a subscriber, every log row a watch, every entry pending.
 _commands_of = lambda t: t.log().select("seq", "cmd", "key", F.when(F.col("cmd") == "DEL", F.array().cast("array<string>")).otherwise(F.array(F.col("v").cast("string"))).alias("argv"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +16,17 @@ def session(name: str = "keyloom", **conf: str) -> SparkSession:
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def need_checkpoints(spark: SparkSession) -> None:
+    """See to it that ``checkpoint()`` has a folder: ``spark.checkpoint.dir``, or in one process, where that is unset, one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not found:
+        found = tempfile.mkdtemp(prefix="keyloom-")
+        atexit.register(shutil.rmtree, found, True)
+    sc.setCheckpointDir(found)
