@@ -145,7 +145,8 @@ def replay(log: DataFrame, as_of_ms: int, order: tuple[str, ...] = ("seq",)) ->
     ``order`` names columns that put the commands of a database in order without ties, as seq, or file and n. Without ``db`` the
     commands are for database 0; without ``ts_ms``, or where it is null, they run at ``as_of_ms``. Commands without effect
     (errors, unknown or reading ones, null arguments) are passed over. Any log with RENAME, RENAMENX or MSETNX takes
-    rounds over the keys so tied, and they are replayed in one task. A list, string or stream of one key is held by one task.
+    rounds over the keys so tied, and they are replayed in one task. The log is read three times, so write one that is costly to
+    make. A list, string or stream of one key is held by one task.
     """
     given = log.columns
     db = F.coalesce(F.col("db").cast("int"), F.lit(0)) if "db" in given else F.lit(0)

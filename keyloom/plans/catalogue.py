@@ -11,6 +11,7 @@ from keyloom.log import fold, replay
 from keyloom.operators import cluster, generic, geo, hashes, lists, pubsub, scripting, sets, sketches, streams, strings, transactions, zsets
 from keyloom.plans.commands import rows as command_rows
 from keyloom.schema import visible
+from keyloom.session import need_checkpoints
 from keyloom.sources.adapters import Tables
 
 NOW = 1704067500000
@@ -417,6 +418,12 @@ def _relations(t: Tables) -> dict[str, DataFrame]:
     return {name: df.withColumn("db", F.lit(db)) for name, (db, df) in own.items()}
 
 
+def _written_once(log: DataFrame) -> DataFrame:
+    """A replay reads its log three times; one that is costly to make is written first."""
+    need_checkpoints(log.sparkSession)
+    return log.checkpoint()
+
+
 _EVENTS = "SELECT *, CAST(round(value*100) AS BIGINT) AS v FROM events"
 query(
     "log_replay",
@@ -435,7 +442,7 @@ query(
     " UNION ALL SELECT 1, key, 'hash', NULL, field, value, NULL, NULL FROM kv_hash"
     " UNION ALL SELECT 2, key, 'set', NULL, member, NULL, NULL, NULL FROM kv_set"
     " UNION ALL SELECT 3, key, 'zset', NULL, member, NULL, CAST(score AS DOUBLE), NULL FROM kv_zset",
-)(lambda t: replay.replay(replay.compact(_relations(t)), NOW).drop("fields"))
+)(lambda t: replay.replay(_written_once(replay.compact(_relations(t))), NOW).drop("fields"))
 
 # Over whole relations: every command of the log, every customer a subscriber, every log row a watch, every entry pending.
 _commands_of = lambda t: t.log().select("seq", "cmd", "key", F.when(F.col("cmd") == "DEL", F.array().cast("array<string>")).otherwise(F.array(F.col("v").cast("string"))).alias("argv"))

@@ -149,8 +149,10 @@ def test_compact_and_replay(spark, tmp_path):
     assert most == 65 and log.select("seq").distinct().count() == log.count()
     resp.write_log(log, str(tmp_path / "log"))
     read = resp.read_log(spark, str(tmp_path / "log"))
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    log, read = log.checkpoint(), read.checkpoint()
     for source, order in ((log, ("seq",)), (read, ("file", "n"))):
-        state = replay.replay(source, 0, order)
+        state = replay.replay(source, 0, order).checkpoint()
         for n, (rows_, schema) in given.items():
             assert _state(replay.relation(state, n).select(*relations[n].columns).collect()) == _state(rows_), n
 
