@@ -131,3 +131,14 @@ def memory_usage(rel: DataFrame, columns: list[str]) -> DataFrame:
     """key, bytes: a rough size, 64 and the bytes of the columns."""
     each = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
     return rel.groupBy("key").agg((F.lit(64) + F.sum(each)).cast("long").alias("bytes"))
+
+
+def object_info(ks: DataFrame, as_of_ms: int) -> DataFrame:
+    """db, key, refcount, idle, freq of live keys (OBJECT): relations share no values and keep no access times, so 1, 0 and 0."""
+    return ks.filter(live(as_of_ms)).select("db", "key", F.lit(1).alias("refcount"), F.lit(0).alias("idle"), F.lit(0).alias("freq"))
+
+
+def wrong_type(ks: DataFrame, requests: DataFrame, as_of_ms: int) -> DataFrame:
+    """The requests (db, key, type, ...) and ``error``: WRONGTYPE where the live key holds another type than the command's."""
+    held = ks.filter(live(as_of_ms)).select("db", "key", F.col("type").alias("held"))
+    return requests.join(held, ["db", "key"], "left").withColumn("error", F.when(F.col("held") != F.col("type"), "WRONGTYPE")).drop("held")

@@ -31,6 +31,15 @@ class Scripts:
             raise NoScript("no matching script")
         return self._by_sha[sha](relations, keys, args)
 
+    def call(self, calls: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
+        """seq, reply, error of calls (seq, sha, ...): each registered script, a function of (relations, its calls) that returns
+        seq and reply, answers all calls of its digest at once; the error of a digest that isn't registered, or null, is NOSCRIPT."""
+        unknown = calls.filter(~F.coalesce(F.col("sha").isin(*self._by_sha), F.lit(False)))
+        out = unknown.select("seq", F.lit(None).cast("string").alias("reply"), F.lit("NOSCRIPT").alias("error"))
+        for sha, f in self._by_sha.items():
+            out = out.unionByName(f(relations, calls.filter(F.col("sha") == sha)).select("seq", F.col("reply").cast("string").alias("reply"), F.lit(None).cast("string").alias("error")))
+        return out
+
     def flush(self) -> None:
         self._by_sha.clear()
 

@@ -62,6 +62,12 @@ def group_create(groups: DataFrame, new: DataFrame) -> DataFrame:
     return groups.unionByName(new.join(groups.select("key", "grp"), ["key", "grp"], "left_anti"))
 
 
+def group_busy(groups: DataFrame, new: DataFrame) -> DataFrame:
+    """key, grp, error: BUSYGROUP for each new group whose name is taken, which :func:`group_create` leaves as it is."""
+    taken = groups.select("key", "grp").distinct().withColumn("error", F.lit("BUSYGROUP"))
+    return new.select("key", "grp").join(taken, ["key", "grp"], "left")
+
+
 def group_set_id(groups: DataFrame, key: str, grp: str, last: tuple[int, int]) -> DataFrame:
     hit = (F.col("key") == key) & (F.col("grp") == grp)
     return groups.withColumns({"last_ms": F.when(hit, last[0]).otherwise(F.col("last_ms")), "last_seq": F.when(hit, last[1]).otherwise(F.col("last_seq"))})

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.log import fold, replay
-from keyloom.operators import cluster, generic, geo, hashes, lists, pubsub, scripting, sets, sketches, streams, strings, transactions, zsets
-from keyloom.plans.commands import rows as command_rows
+from keyloom.operators import cluster, generic, geo, hashes, lists, pubsub, replication, scripting, server, sets, sketches, streams, strings, transactions, zsets
+from keyloom.plans import commands
 from keyloom.schema import visible
 from keyloom.session import need_checkpoints
 from keyloom.sources.adapters import Tables
@@ -514,8 +515,123 @@ query("sentinel_sdown_gap", "SELECT concat('u:',user_id) AS node, (SELECT max(ep
 query("script_sha1", "SELECT sha1(text) AS sha1 FROM documents")(lambda t: scripting.digests(t.table("documents").select(F.col("text").alias("src"))).select("sha1"))
 
 
-@query("catalog_command_count", "SELECT * FROM (VALUES " + ", ".join(f"('{f}','{n}',{a},'{k}',{str(s).lower()})" for f, n, a, k, s in command_rows()) + ") t(family, name, arity, kind, served)")
+@query("catalog_command_count", "SELECT * FROM (VALUES " + ", ".join(f"('{f}','{n}',{a},'{k}',{str(s).lower()})" for f, n, a, k, s in commands.rows()) + ") t(family, name, arity, kind, served)")
 def _commands(t: Tables) -> DataFrame:
-    from keyloom.plans.commands import catalogue
+    return commands.catalogue(t.spark)
 
-    return catalogue(t.spark)
+
+# Patterns that clients listen to: each customer has one.
+_PATTERNS = ("ev.c*", "ev.*", "ev.[pv]*", "ev.?????", "x*")
+_psubs = lambda t: t.table("customer").select(
+    F.col("c_custkey").alias("client_id"),
+    F.lit("pattern").alias("kind"),
+    F.element_at(F.array(*map(F.lit, _PATTERNS)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("name"),
+)
+_PSUB = "SELECT c_custkey AS client_id, CASE c_custkey%5 WHEN 0 THEN 'ev.c*' WHEN 1 THEN 'ev.*' WHEN 2 THEN 'ev.[pv]*' WHEN 3 THEN 'ev.?????' ELSE 'x*' END AS name FROM customer"
+query("pubsub_psubscribe", f"SELECT client_id, 'channel' AS kind, name FROM ({_SUB}) UNION ALL SELECT client_id, 'pattern', name FROM ({_PSUB})")(
+    lambda t: pubsub.subscribe(_subs(t), _psubs(t).unionByName(_psubs(t)))
+)
+query("pubsub_punsubscribe", f"SELECT client_id, 'channel' AS kind, name FROM ({_SUB}) UNION ALL SELECT client_id, 'pattern', name FROM ({_PSUB}) WHERE name<>'ev.*' AND client_id%7<>0")(
+    lambda t: pubsub.unsubscribe(
+        _subs(t).unionByName(_psubs(t)),
+        # One name, and for some clients all of their patterns.
+        _psubs(t).filter("name = 'ev.*'").unionByName(_psubs(t).filter("client_id % 7 = 0").withColumn("name", F.lit(None).cast("string"))),
+    )
+)
+query("pubsub_numpat", f"SELECT count(*) AS n FROM ({_PSUB})")(lambda t: pubsub.num_pat(_subs(t).unionByName(_psubs(t))))
+
+# Scripts: a read, an addition, and a digest that nobody registered.
+_SHA = {name: hashlib.sha1(name.encode()).hexdigest() for name in ("read", "add", "gone")}
+
+
+def _scripts() -> scripting.Scripts:
+    found = scripting.Scripts()
+    values = lambda relations, calls: calls.join(relations["kv"].select("key", "value"), "key", "left")
+    found.load(lambda relations, calls: values(relations, calls).select("seq", F.col("value").alias("reply")), "read")
+    found.load(lambda relations, calls: values(relations, calls).select("seq", (F.col("value").try_cast("long") + F.col("arg")).cast("string").alias("reply")), "add")
+    return found
+
+
+query(
+    "script_evalsha",
+    "SELECT o_orderkey AS seq, CASE o_orderkey%3 WHEN 0 THEN k.value WHEN 1 THEN CAST(TRY_CAST(k.value AS BIGINT)+o_orderkey AS VARCHAR) END AS reply, CASE WHEN o_orderkey%3=2 THEN 'NOSCRIPT' END AS error"
+    " FROM orders LEFT JOIN kv_counter k ON k.key=concat('bal:',o_custkey)",
+)(
+    lambda t: _scripts().call(
+        t.table("orders").select(
+            F.col("o_orderkey").alias("seq"),
+            F.element_at(F.array(*map(F.lit, _SHA.values())), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("sha"),
+            F.concat(F.lit("bal:"), "o_custkey").alias("key"),
+            F.col("o_orderkey").alias("arg"),
+        ),
+        {"kv": t.counters()},
+    )
+)
+query("script_exists", "SELECT * FROM (VALUES ('read', true), ('add', true), ('gone', false)) t(src, found)")(
+    lambda t: t.spark.createDataFrame(list(zip(_SHA, _scripts().exists(*_SHA.values()))), "src string, found boolean")
+)
+
+# Server.
+_asked = lambda t: t.table("orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("message"))
+query("server_ping", "SELECT o_orderkey AS seq, CASE WHEN o_orderkey%2=0 THEN o_orderpriority ELSE 'PONG' END AS reply FROM orders")(lambda t: server.ping(_asked(t)))
+query("server_echo", "SELECT o_orderkey AS seq, CASE WHEN o_orderkey%2=0 THEN o_orderpriority END AS reply, CASE WHEN o_orderkey%2<>0 THEN 'SYNTAX' END AS error FROM orders")(lambda t: server.echo(_asked(t)))
+query("server_time", "SELECT event_id, epoch_us(ts)//1000000 AS seconds, (epoch_us(ts)//1000)%1000*1000 AS micros FROM events")(
+    lambda t: t.table("events").select("event_id", *server.clock(F.unix_millis(F.col("ts").cast("timestamp"))))
+)
+query("server_time_now", None)(lambda t: server.time(t.spark))
+query("server_info_keyspace", "SELECT db, count(*) AS keys, count(expire_at_ms) AS expires FROM live_keys GROUP BY db")(lambda t: server.keyspace_info(t.keyspace(), NOW))
+_ASKED = ("Databases", "hash-max-*", "*", "none")
+query(
+    "server_config_get",
+    "SELECT p.seq, s.name, s.value FROM (VALUES (0,'databases',false),(1,'hash-max-',true),(2,'',true),(3,'none',false)) p(seq, pattern, starts), (VALUES "
+    + ", ".join(f"('{n}','{v}')" for n, v in commands.SETTINGS)
+    + ") s(name, value) WHERE CASE WHEN starts THEN starts_with(name, pattern) ELSE name=pattern END",
+)(lambda t: server.settings(commands.settings(t.spark), t.spark.createDataFrame(list(enumerate(_ASKED)), "seq int, pattern string")))
+query("key_object_info", "SELECT db, key, 1 AS refcount, 0 AS idle, 0 AS freq FROM live_keys")(lambda t: generic.object_info(t.keyspace(), NOW))
+
+# Errors that depend on data.
+query("key_wrongtype", "SELECT c_custkey AS seq, CASE WHEN k.type IS NOT NULL AND k.type<>CASE WHEN c_custkey%2=0 THEN 'string' ELSE 'list' END THEN 'WRONGTYPE' END AS error FROM customer LEFT JOIN live_keys k ON k.db=0 AND k.key=concat('cust:',c_custkey)")(
+    lambda t: generic.wrong_type(
+        t.keyspace(),
+        t.table("customer").select(F.lit(0).alias("db"), F.concat(F.lit("cust:"), "c_custkey").alias("key"), F.when(F.col("c_custkey") % 2 == 0, "string").otherwise("list").alias("type"), F.col("c_custkey").alias("seq")),
+        NOW,
+    ).select("seq", "error")
+)
+query("stream_group_busy", "SELECT DISTINCT key, 'g' AS grp, CASE WHEN key='ev:click' THEN 'BUSYGROUP' END AS error FROM kv_stream")(
+    lambda t: streams.group_busy(_groups(t).filter("key = 'ev:click'"), _groups(t)).select("key", "grp", "error")
+)
+
+# Replication: every user is a replica, which reports the events it has seen; the master is where the log ends.
+_reports = lambda t: t.table("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("replica"), F.col("event_id").alias("offset"))
+query("replication_ack", 'SELECT user_id AS replica, max(event_id) AS "offset" FROM events GROUP BY user_id')(lambda t: replication.acknowledged(_reports(t)))
+query("replication_wait", "SELECT count(*) AS acked FROM (SELECT max(event_id) AS m FROM events GROUP BY user_id) WHERE m>=(SELECT max(event_id)-100 FROM events)")(
+    lambda t: replication.wait(replication.acknowledged(_reports(t)), t.log().agg(F.max("seq")).first()[0] - 100)
+)
+
+
+@query(
+    "replication_psync",
+    "SELECT replica, CASE WHEN ok THEN 'CONTINUE' ELSE 'FULLRESYNC' END AS reply, CASE WHEN ok THEN m ELSE last END AS start FROM"
+    " (SELECT user_id AS replica, max(event_id) AS m, (SELECT max(event_id) FROM events) AS last, user_id%5<>0 AND max(event_id)>=(SELECT max(event_id)-200 FROM events) AS ok FROM events GROUP BY user_id)",
+)
+def _psync(t: Tables) -> DataFrame:
+    last = t.log().agg(F.max("seq")).first()[0]
+    asked = replication.acknowledged(_reports(t)).withColumn("replid", F.when(F.col("replica") % 5 != 0, "m"))
+    return replication.resync(asked, "m", last - 200, last)
+
+
+query("replication_tail", "SELECT seq, cmd, key FROM log WHERE seq>(SELECT max(seq)//2 FROM log)")(
+    lambda t: replication.tail(t.log(), t.log().agg(F.floor(F.max("seq") / 2)).first()[0]).select("seq", "cmd", "key")
+)
+
+# Health of nodes: a quorum of watchers, votes of an epoch.
+query("sentinel_odown", "SELECT event_type AS node, count(DISTINCT user_id%10) AS reporters FROM events WHERE value>50 GROUP BY 1 HAVING count(DISTINCT user_id%10)>=3")(
+    lambda t: cluster.objectively_down(t.table("events").filter("value > 50").select(F.col("event_type").alias("node"), (F.col("user_id") % 10).alias("reporter")), 3)
+)
+query("sentinel_ckquorum", "SELECT event_type AS node, count(DISTINCT CASE WHEN value>50 THEN user_id END) AS reachable, count(DISTINCT CASE WHEN value>50 THEN user_id END)>=2 AND count(DISTINCT CASE WHEN value>50 THEN user_id END)*2>count(DISTINCT user_id) AS ok FROM events GROUP BY 1")(
+    lambda t: cluster.can_fail_over(t.table("events").select(F.col("event_type").alias("node"), F.col("user_id").alias("watcher"), (F.col("value") > 50).alias("reachable")), 2)
+)
+query(
+    "cluster_election",
+    "SELECT epoch, candidate, count(*) AS votes FROM (SELECT event_id//50 AS epoch, user_id%7 AS voter, arg_min(event_type, event_id) AS candidate FROM events GROUP BY 1, 2) GROUP BY 1, 2 HAVING count(*)>=4",
+)(lambda t: cluster.elected(t.table("events").select(F.floor(F.col("event_id") / 50).cast("long").alias("epoch"), (F.col("user_id") % 7).alias("voter"), F.col("event_type").alias("candidate"), F.col("event_id").alias("seq")), 7))

@@ -1,38 +1,265 @@
-"""The operator catalogue: each command, its arity and kind, and the function or query that serves it."""
+"""The operator catalogue: each command, its arity and kind, and the settings that CONFIG GET knows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Name, arity (negative: at least so many words), W writes, R reads, - neither.
-COMMANDS = {
-    "string": "get 2 R, set -3 W, mget -2 R, mset -3 W, msetnx -3 W, incr 2 W, decr 2 W, incrby 3 W, decrby 3 W, incrbyfloat 3 W, append 3 W, strlen 2 R, getrange 4 R, setrange 4 W, setnx 3 W, setex 4 W, psetex 4 W, getset 3 W, getdel 2 W, getex -2 W",
-    "list": "lpush -3 W, rpush -3 W, lpop -2 W, rpop -2 W, llen 2 R, lrange 4 R, lindex 3 R, lset 4 W, linsert 5 W, lrem 4 W, lmove 5 W, lmpop -4 W, blpop -3 W, brpop -3 W, lpos -3 R, blmpop -5 W",
-    "hash": "hset -4 W, hmset -4 W, hget 3 R, hmget -3 R, hdel -3 W, hexists 3 R, hlen 2 R, hkeys 2 R, hvals 2 R, hgetall 2 R, hincrby 4 W, hincrbyfloat 4 W, hsetnx 4 W, hscan -3 R, hrandfield -2 R, hexpire -6 W, hpexpire -6 W, hexpireat -6 W, hpexpireat -6 W, httl -5 R, hpttl -5 R, hexpiretime -5 R, hpexpiretime -5 R, hpersist -5 W",
-    "set": "sadd -3 W, srem -3 W, smembers 2 R, sismember 3 R, smismember -3 R, scard 2 R, sinter -2 R, sunion -2 R, sdiff -2 R, sintercard -3 R, sinterstore -3 W, sunionstore -3 W, sdiffstore -3 W, srandmember -2 R, spop -2 W, smove 4 W, sscan -3 R",
-    "zset": "zadd -4 W, zcard 2 R, zscore 3 R, zmscore -3 R, zincrby 4 W, zrank -3 R, zrevrank -3 R, zrange -4 R, zrevrange -4 R, zrangebyscore -4 R, zrevrangebyscore -4 R, zrangebylex -4 R, zrevrangebylex -4 R, zrem -3 W, zremrangebyscore 4 W, zremrangebyrank 4 W, zremrangebylex 4 W, zcount 4 R, zpopmin -2 W, zpopmax -2 W, zrandmember -2 R, zunionstore -4 W, zinterstore -4 W, zscan -3 R, zrangestore -5 W, zmpop -4 W, bzmpop -5 W",
-    "key": "del -2 W, unlink -2 W, exists -2 R, type 2 R, keys 2 R, scan -2 R, rename 3 W, renamenx 3 W, expire -3 W, pexpire -3 W, expireat -3 W, pexpireat -3 W, ttl 2 R, pttl 2 R, persist 2 W, select 2 -, dbsize 1 R, flushdb -1 W, flushall -1 W, randomkey 1 R, move 3 W, copy -3 W, touch -2 R, object -2 -, wait 3 -, dump 2 R, restore -4 W, expiretime 2 R, pexpiretime 2 R",
-    "geo": "geoadd -5 W, geodist -4 R, geopos -2 R, geohash -2 R, geosearch -7 R, geosearchstore -8 W",
-    "hll": "pfadd -2 W, pfcount -2 R, pfmerge -2 W",
-    "stream": "xadd -5 W, xlen 2 R, xrange -4 R, xrevrange -4 R, xread -4 R, xdel -3 W, xtrim -4 W, xgroup -2 W, xreadgroup -7 W, xack -4 W, xclaim -6 W, xautoclaim -7 W, xpending -3 R, xinfo -2 R",
-    "pubsub": "subscribe -2 -, unsubscribe -1 -, psubscribe -2 -, punsubscribe -1 -, publish 3 -, pubsub -2 -",
-    "txn": "multi 1 -, exec 1 -, discard 1 -, watch -2 -, unwatch 1 -",
-    "script": "eval -3 -, evalsha -3 -, script -2 -",
-    "server": "ping -1 -, echo 2 -, client -2 -, quit 1 -, reset 1 -, auth -2 -, info -1 -, config -2 -, command -1 -, slowlog -2 -, time 1 -, debug -2 -, latency -2 -, memory -2 R",
-    "replication": "replicaof 3 -, slaveof 3 -, replconf -3 -, psync 3 -, wait 3 -",
-    "cluster": "cluster -2 -",
-}
-#: Commands that act on a network connection or a process; a query engine has no counterpart.
-CONNECTION_ONLY = "wait dump restore ping echo client quit reset auth slowlog time debug latency replconf psync replicaof slaveof".split()
+# Family, name, arity (negative: at least so many words), kind.
+COMMANDS = [
+    ("string", "get", 2, "read"),
+    ("string", "set", -3, "write"),
+    ("string", "mget", -2, "read"),
+    ("string", "mset", -3, "write"),
+    ("string", "msetnx", -3, "write"),
+    ("string", "incr", 2, "write"),
+    ("string", "decr", 2, "write"),
+    ("string", "incrby", 3, "write"),
+    ("string", "decrby", 3, "write"),
+    ("string", "incrbyfloat", 3, "write"),
+    ("string", "append", 3, "write"),
+    ("string", "strlen", 2, "read"),
+    ("string", "getrange", 4, "read"),
+    ("string", "setrange", 4, "write"),
+    ("string", "setnx", 3, "write"),
+    ("string", "setex", 4, "write"),
+    ("string", "psetex", 4, "write"),
+    ("string", "getset", 3, "write"),
+    ("string", "getdel", 2, "write"),
+    ("string", "getex", -2, "write"),
+    ("list", "lpush", -3, "write"),
+    ("list", "rpush", -3, "write"),
+    ("list", "lpop", -2, "write"),
+    ("list", "rpop", -2, "write"),
+    ("list", "llen", 2, "read"),
+    ("list", "lrange", 4, "read"),
+    ("list", "lindex", 3, "read"),
+    ("list", "lset", 4, "write"),
+    ("list", "linsert", 5, "write"),
+    ("list", "lrem", 4, "write"),
+    ("list", "lmove", 5, "write"),
+    ("list", "lmpop", -4, "write"),
+    ("list", "blpop", -3, "write"),
+    ("list", "brpop", -3, "write"),
+    ("list", "lpos", -3, "read"),
+    ("list", "blmpop", -5, "write"),
+    ("hash", "hset", -4, "write"),
+    ("hash", "hmset", -4, "write"),
+    ("hash", "hget", 3, "read"),
+    ("hash", "hmget", -3, "read"),
+    ("hash", "hdel", -3, "write"),
+    ("hash", "hexists", 3, "read"),
+    ("hash", "hlen", 2, "read"),
+    ("hash", "hkeys", 2, "read"),
+    ("hash", "hvals", 2, "read"),
+    ("hash", "hgetall", 2, "read"),
+    ("hash", "hincrby", 4, "write"),
+    ("hash", "hincrbyfloat", 4, "write"),
+    ("hash", "hsetnx", 4, "write"),
+    ("hash", "hscan", -3, "read"),
+    ("hash", "hrandfield", -2, "read"),
+    ("hash", "hexpire", -6, "write"),
+    ("hash", "hpexpire", -6, "write"),
+    ("hash", "hexpireat", -6, "write"),
+    ("hash", "hpexpireat", -6, "write"),
+    ("hash", "httl", -5, "read"),
+    ("hash", "hpttl", -5, "read"),
+    ("hash", "hexpiretime", -5, "read"),
+    ("hash", "hpexpiretime", -5, "read"),
+    ("hash", "hpersist", -5, "write"),
+    ("set", "sadd", -3, "write"),
+    ("set", "srem", -3, "write"),
+    ("set", "smembers", 2, "read"),
+    ("set", "sismember", 3, "read"),
+    ("set", "smismember", -3, "read"),
+    ("set", "scard", 2, "read"),
+    ("set", "sinter", -2, "read"),
+    ("set", "sunion", -2, "read"),
+    ("set", "sdiff", -2, "read"),
+    ("set", "sintercard", -3, "read"),
+    ("set", "sinterstore", -3, "write"),
+    ("set", "sunionstore", -3, "write"),
+    ("set", "sdiffstore", -3, "write"),
+    ("set", "srandmember", -2, "read"),
+    ("set", "spop", -2, "write"),
+    ("set", "smove", 4, "write"),
+    ("set", "sscan", -3, "read"),
+    ("zset", "zadd", -4, "write"),
+    ("zset", "zcard", 2, "read"),
+    ("zset", "zscore", 3, "read"),
+    ("zset", "zmscore", -3, "read"),
+    ("zset", "zincrby", 4, "write"),
+    ("zset", "zrank", -3, "read"),
+    ("zset", "zrevrank", -3, "read"),
+    ("zset", "zrange", -4, "read"),
+    ("zset", "zrevrange", -4, "read"),
+    ("zset", "zrangebyscore", -4, "read"),
+    ("zset", "zrevrangebyscore", -4, "read"),
+    ("zset", "zrangebylex", -4, "read"),
+    ("zset", "zrevrangebylex", -4, "read"),
+    ("zset", "zrem", -3, "write"),
+    ("zset", "zremrangebyscore", 4, "write"),
+    ("zset", "zremrangebyrank", 4, "write"),
+    ("zset", "zremrangebylex", 4, "write"),
+    ("zset", "zcount", 4, "read"),
+    ("zset", "zpopmin", -2, "write"),
+    ("zset", "zpopmax", -2, "write"),
+    ("zset", "zrandmember", -2, "read"),
+    ("zset", "zunionstore", -4, "write"),
+    ("zset", "zinterstore", -4, "write"),
+    ("zset", "zscan", -3, "read"),
+    ("zset", "zrangestore", -5, "write"),
+    ("zset", "zmpop", -4, "write"),
+    ("zset", "bzmpop", -5, "write"),
+    ("key", "del", -2, "write"),
+    ("key", "unlink", -2, "write"),
+    ("key", "exists", -2, "read"),
+    ("key", "type", 2, "read"),
+    ("key", "keys", 2, "read"),
+    ("key", "scan", -2, "read"),
+    ("key", "rename", 3, "write"),
+    ("key", "renamenx", 3, "write"),
+    ("key", "expire", -3, "write"),
+    ("key", "pexpire", -3, "write"),
+    ("key", "expireat", -3, "write"),
+    ("key", "pexpireat", -3, "write"),
+    ("key", "ttl", 2, "read"),
+    ("key", "pttl", 2, "read"),
+    ("key", "persist", 2, "write"),
+    ("key", "select", 2, "other"),
+    ("key", "dbsize", 1, "read"),
+    ("key", "flushdb", -1, "write"),
+    ("key", "flushall", -1, "write"),
+    ("key", "randomkey", 1, "read"),
+    ("key", "move", 3, "write"),
+    ("key", "copy", -3, "write"),
+    ("key", "touch", -2, "read"),
+    ("key", "object", -2, "other"),
+    ("key", "wait", 3, "other"),
+    ("key", "dump", 2, "read"),
+    ("key", "restore", -4, "write"),
+    ("key", "expiretime", 2, "read"),
+    ("key", "pexpiretime", 2, "read"),
+    ("geo", "geoadd", -5, "write"),
+    ("geo", "geodist", -4, "read"),
+    ("geo", "geopos", -2, "read"),
+    ("geo", "geohash", -2, "read"),
+    ("geo", "geosearch", -7, "read"),
+    ("geo", "geosearchstore", -8, "write"),
+    ("hll", "pfadd", -2, "write"),
+    ("hll", "pfcount", -2, "read"),
+    ("hll", "pfmerge", -2, "write"),
+    ("stream", "xadd", -5, "write"),
+    ("stream", "xlen", 2, "read"),
+    ("stream", "xrange", -4, "read"),
+    ("stream", "xrevrange", -4, "read"),
+    ("stream", "xread", -4, "read"),
+    ("stream", "xdel", -3, "write"),
+    ("stream", "xtrim", -4, "write"),
+    ("stream", "xgroup", -2, "write"),
+    ("stream", "xreadgroup", -7, "write"),
+    ("stream", "xack", -4, "write"),
+    ("stream", "xclaim", -6, "write"),
+    ("stream", "xautoclaim", -7, "write"),
+    ("stream", "xpending", -3, "read"),
+    ("stream", "xinfo", -2, "read"),
+    ("pubsub", "subscribe", -2, "other"),
+    ("pubsub", "unsubscribe", -1, "other"),
+    ("pubsub", "psubscribe", -2, "other"),
+    ("pubsub", "punsubscribe", -1, "other"),
+    ("pubsub", "publish", 3, "other"),
+    ("pubsub", "pubsub", -2, "other"),
+    ("txn", "multi", 1, "other"),
+    ("txn", "exec", 1, "other"),
+    ("txn", "discard", 1, "other"),
+    ("txn", "watch", -2, "other"),
+    ("txn", "unwatch", 1, "other"),
+    ("script", "eval", -3, "other"),
+    ("script", "evalsha", -3, "other"),
+    ("script", "script", -2, "other"),
+    ("server", "ping", -1, "other"),
+    ("server", "echo", 2, "other"),
+    ("server", "client", -2, "other"),
+    ("server", "quit", 1, "other"),
+    ("server", "reset", 1, "other"),
+    ("server", "auth", -2, "other"),
+    ("server", "info", -1, "other"),
+    ("server", "config", -2, "other"),
+    ("server", "command", -1, "other"),
+    ("server", "slowlog", -2, "other"),
+    ("server", "time", 1, "other"),
+    ("server", "debug", -2, "other"),
+    ("server", "latency", -2, "other"),
+    ("server", "memory", -2, "read"),
+    ("replication", "replicaof", 3, "other"),
+    ("replication", "slaveof", 3, "other"),
+    ("replication", "replconf", -3, "other"),
+    ("replication", "psync", 3, "other"),
+    ("replication", "wait", 3, "other"),
+    ("cluster", "cluster", -2, "other"),
+]
+#: Commands that act on a network connection or a process, or that have no answer to give; a query engine has no counterpart.
+CONNECTION_ONLY = "client quit reset auth slowlog debug latency dump restore".split()
+
+# Name and value of each setting, as a server without a configuration file gives them.
+SETTINGS = [
+    ("maxmemory", "0"),
+    ("maxmemory-policy", "noeviction"),
+    ("databases", "16"),
+    ("hz", "10"),
+    ("bind", "127.0.0.1"),
+    ("port", "6379"),
+    ("tcp-backlog", "511"),
+    ("timeout", "0"),
+    ("tcp-keepalive", "300"),
+    ("loglevel", "notice"),
+    ("logfile", ""),
+    ("save", "3600 1 300 100 60 10000"),
+    ("appendonly", "no"),
+    ("appendfsync", "everysec"),
+    ("no-appendfsync-on-rewrite", "no"),
+    ("auto-aof-rewrite-percentage", "100"),
+    ("auto-aof-rewrite-min-size", "67108864"),
+    ("aof-use-rdb-preamble", "yes"),
+    ("list-max-listpack-size", "-2"),
+    ("list-max-ziplist-size", "-2"),
+    ("list-compress-depth", "0"),
+    ("hash-max-listpack-entries", "128"),
+    ("hash-max-listpack-value", "64"),
+    ("hash-max-ziplist-entries", "128"),
+    ("hash-max-ziplist-value", "64"),
+    ("set-max-intset-entries", "512"),
+    ("set-max-listpack-entries", "128"),
+    ("set-max-listpack-value", "64"),
+    ("zset-max-listpack-entries", "128"),
+    ("zset-max-listpack-value", "64"),
+    ("zset-max-ziplist-entries", "128"),
+    ("zset-max-ziplist-value", "64"),
+    ("activerehashing", "yes"),
+    ("lazyfree-lazy-eviction", "no"),
+    ("lazyfree-lazy-expire", "no"),
+    ("lazyfree-lazy-server-del", "no"),
+    ("repl-diskless-sync", "yes"),
+    ("repl-diskless-sync-delay", "5"),
+    ("repl-backlog-size", "1048576"),
+    ("repl-timeout", "60"),
+    ("requirepass", ""),
+    ("maxclients", "10000"),
+    ("activeexpire-enabled", "1"),
+    ("active-expire-effort", "1"),
+    ("cluster-enabled", "no"),
+    ("cluster-node-timeout", "15000"),
+    ("lua-time-limit", "5000"),
+    ("slowlog-log-slower-than", "10000"),
+    ("slowlog-max-len", "128"),
+    ("latency-monitor-threshold", "0"),
+    ("proto-max-bulk-len", "536870912"),
+    ("client-query-buffer-limit", "1073741824"),
+]
 
 
 def rows() -> list[tuple[str, str, int, str, bool]]:
-    out = []
-    for family, text in COMMANDS.items():
-        for item in text.split(", "):
-            name, arity, kind = item.split()
-            out.append((family, name, int(arity), {"W": "write", "R": "read", "-": "other"}[kind], name not in CONNECTION_ONLY))
-    return out
+    """family, name, arity, kind, served."""
+    return [(*c, c[1] not in CONNECTION_ONLY) for c in COMMANDS]
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -40,20 +267,6 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(), "family string, name string, arity int, kind string, served boolean")
 
 
-def info(relations: dict[str, DataFrame]) -> DataFrame:
-    """relation, db, rows: the keyspace section of INFO."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
-    parts = [df.groupBy((F.col("db") if "db" in df.columns else F.lit(0)).alias("db")).agg(F.count("*").alias("rows")).withColumn("relation", F.lit(n)) for n, df in relations.items()]
-    return reduce(DataFrame.unionByName, parts).select("relation", "db", "rows")
-
-
-def config(spark: SparkSession, pattern: str = "*") -> DataFrame:
-    """name, value of session settings that match a glob (CONFIG GET)."""
-    from pyspark.sql import functions as F
-
-    from keyloom.functions.text import glob_match
-
-    return spark.sql("SET").select(F.col("key").alias("name"), "value").filter(glob_match(F.col("name"), pattern))
+def settings(spark: SparkSession) -> DataFrame:
+    """name, value of the settings."""
+    return spark.createDataFrame(SETTINGS, "name string, value string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyloom.log import fold, replay
 from keyloom.log.interpreter import Keyspace
-from keyloom.plans.commands import catalogue, rows
+from keyloom.plans.commands import SETTINGS, catalogue, rows
 from keyloom.schema import keyspace, type_conflicts
 from keyloom.sources import resp, snapshot
 from keyloom.streaming import groups
@@ -184,7 +184,7 @@ def test_snapshot(spark, tmp_path):
 
 
 def test_catalogue(spark):
-    assert len(rows()) == 190 and len({r[1] for r in rows()}) == 189
+    assert len(rows()) == 190 and len({r[1] for r in rows()}) == 189 and len(dict(SETTINGS)) == len(SETTINGS) == 52
     assert catalogue(spark).filter("kind = 'write' and served").count() > 80
 
 
