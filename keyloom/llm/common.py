@@ -8,13 +8,16 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: dict[str, list[tuple[SparkSession, str]]] = {}
+_owner: ContextVar[str] = ContextVar("owner", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,13 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str, scratch: bool = True) -> str:
-    """A path below the shared folder that no other call uses; of a scratch one, :func:`release` deletes it."""
+    """A path below the shared folder that no other call uses; a scratch one is its owner's, and :func:`release` deletes it."""
     path = f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
     if scratch:
-        _scratch.append((spark, path))
+        _scratch.setdefault(_owner.get(), []).append((spark, path))
     return path
 
 
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables made inside belong to ``owner``, so that others' results, perhaps still unread, outlive its release."""
+    before = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+
+
 def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """``df`` as a table written to the shared folder: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
@@ -66,13 +79,12 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def release() -> None:
-    """Delete the intermediate tables made so far. Only for callers whose results are already written."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release(owner: str | None = None) -> None:
+    """Delete the intermediate tables that ``owner`` (None: anyone) made so far. Only for callers whose results are already written."""
+    for name in [owner] if owner is not None else list(_scratch):
+        for spark, path in _scratch.pop(name, []):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def two(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """The deduplication operators and the pipeline against brute force."""
 
+import os
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import components, ngram_join, repeats, substring, suffix
+from keyloom.llm import common, components, ngram_join, repeats, substring, suffix
 from keyloom.llm.words import U, windows, word_hashes
 
 
@@ -241,3 +243,16 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(list(after.values()), docs.schema)
     packed = corpus_pipeline.pack(spark, docs, folder).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
     assert len(packed) == docs.count() and all(r.n == r.t for r in packed)
+
+
+def test_release_leaves_the_tables_of_others(spark):
+    mine, theirs = (f"test-{uuid.uuid4().hex}" for _ in range(2))
+    with common.owned(mine):
+        gone = common.written(spark.range(3), "mine")
+    with common.owned(theirs):
+        kept = common.written(spark.range(4), "theirs")
+    file = gone.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(file)
+    common.release(mine)
+    assert kept.count() == 4 and not os.path.exists(file)
+    common.release(theirs)
