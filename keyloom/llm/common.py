@@ -87,6 +87,22 @@ def release(owner: str | None = None) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one thing at a time, so that operators run in turn don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what the worker process keeps; for tasks that keep nothing and need the room."""
+    _kept.clear()
+
+
 def two(df: DataFrame, key: str, text: str) -> DataFrame:
     """The two columns an operator works on, whatever else ``df`` holds: ``doc_id`` long and ``text`` string."""
     return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))

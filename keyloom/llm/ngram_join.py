@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import partitions_for, small_batches, two, written
+from keyloom.llm.common import forget, partitions_for, small_batches, two, written
 from keyloom.llm.components import components
 from keyloom.llm.words import LOWER, U, mix, windows, word_hashes
 
@@ -86,6 +86,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in small_batches(batches, 4096):
             sets = list(shingle_sets([t or "" for t in b.column("text").to_pylist()]))
             t, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.array([], U), np.array([], np.int64))
@@ -106,6 +107,7 @@ def profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((hot, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hot, count = sent.value
         for b in small_batches(batches, 1024):
             e, n, prefix, bits = [], [], [], []
@@ -163,6 +165,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
     """token, e, block of the tokens that two sets or more have; each CELL sets of a token are a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = None  # the last row so far: token, e, its place in the group, whether it was given
         for b in batches:
             t, e = np.asarray(b.column("token")), np.asarray(b.column("e"))
@@ -241,6 +244,7 @@ def _pairs(groups: DataFrame, across: bool, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in _whole_groups(batches, "cell"):
             cell, token, e, n, side = (np.asarray(b.column(c)) for c in ("cell", "token", "e", "n", "side"))
             comp = np.asarray(b.column("comp")) if across else None
@@ -312,6 +316,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     """The pairs (a, b) of entities that are links: prefix filters under the other orders, then exact intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in small_batches(batches):
             cols = {c: b.column(c).to_pylist() for c in ("sa", "sb", "pa", "pb")}
             keep = []
@@ -335,6 +340,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     """e, s (the set), p (its prefixes under the other orders), bits (a wide bitmap) of text, e; a null e stands for whatever the text gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in small_batches(batches):
             es, s, p, bits = [], [], [], []
             for x, e in zip(shingle_sets([t or "" for t in b.column("text").to_pylist()]), b.column("e").to_pylist()):
@@ -403,6 +409,7 @@ def _links_within(joined: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     split = x.select(F.col("node").alias("e"), F.inline(F.concat(same, over, under)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in _whole_groups(batches, "cell"):
             side, copies, s = np.asarray(b.column("side")), np.asarray(b.column("copies")), b.column("s")
             links, near = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
@@ -415,6 +422,7 @@ def _links_within(joined: DataFrame, reps: DataFrame, sets: DataFrame, percent:
             yield pa.RecordBatch.from_arrays([b.column("e"), pa.array(links), pa.array(near)], ["e", "n_links", "n_sets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in _whole_groups(batches, "cell"):
             e, side, s = np.asarray(b.column("e")), np.asarray(b.column("side")), b.column("s")
             starts = _runs(np.asarray(b.column("cell")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from keyloom.llm.common import small_batches, texts, two
+from keyloom.llm.common import kept, small_batches, texts, two
 
 #: Remainders packed together, entries of the word cache, and the longest word kept in it.
 BLOCK, CACHE_WORDS, CACHE_LENGTH = 1024, 400_000, 48
@@ -88,13 +88,8 @@ class WordCache(dict):
         return self.pack(start) + b"".join(map(self.__getitem__, rest))
 
 
-_loaded: dict[tuple[str, str], WordCache] = {}
-
-
 def tokenizer(path: str, pattern: str) -> WordCache:
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = WordCache(path, pattern)
-    return _loaded[path, pattern]
+    return kept(("packing", path, pattern), lambda: WordCache(path, pattern))
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import bucketed, partitions_for, small_batches, written
+from keyloom.llm.common import bucketed, forget, partitions_for, small_batches, written
 from keyloom.llm.words import CHUNK, U, _tables, mix
 
 #: Documents settled together before rows are sent.
@@ -116,6 +116,7 @@ def find_paths(texts: DataFrame, hasher: Hasher, size: int, k: int, within: bool
     together = TOGETHER
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in small_batches(batches, together):
             cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for doc, row, units in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), hasher([t or "" for t in b.column("text").to_pylist()])):
@@ -137,6 +138,7 @@ def find_paths(texts: DataFrame, hasher: Hasher, size: int, k: int, within: bool
             yield _batch(SENT, np.where(settled, REPEATED, OPEN), a, c, d, r, s, np.where(settled, n & (TIED - 1), n))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         # Of the anchor and content that go on: the place of the first path, whether the anchor has several contents, and its paths that wait.
         last: tuple[int, int, tuple[int, int, int], bool] | None = None
         waiting: list[tuple[np.ndarray, ...]] = []
@@ -186,6 +188,7 @@ def open_windows(texts: DataFrame, found: DataFrame, hasher: Hasher, size: int)
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in small_batches(batches):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             cols = (b.column("doc_id").to_pylist(), b.column("row").to_pylist(), hasher([t or "" for t in b.column("text").to_pylist()]), b.column("opens").to_pylist())

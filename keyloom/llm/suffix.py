@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm import repeats
-from keyloom.llm.common import partitions_for, small_batches, written
+from keyloom.llm.common import forget, partitions_for, small_batches, written
 from keyloom.llm.words import U, _BYTE
 
 #: Bytes in a window and in an anchor; depth of the quicksort.
@@ -186,6 +186,7 @@ def _compare(texts: DataFrame, found: DataFrame) -> DataFrame:
     sent_as = "key long, doc_id long, row long, start long, count int, bytes binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in small_batches(batches):
             out, fine = [], []
             for doc, row, t, opens in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "opens"))):
@@ -206,6 +207,7 @@ def _compare(texts: DataFrame, found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "doc_id", "row", "start", "count", "bytes"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple[int, int, int, bytes]] = []  # doc_id, row, start, bytes
         keys: list[int] = []
         old = 0  # so many at the head have been given already
@@ -269,6 +271,7 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", car
     texts = repeats.held_texts(docs, key, text, carried)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in small_batches(batches):
             out = []
             for t, rows in zip(b.column("text").to_pylist(), b.column("rows").to_pylist()):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import small_batches, texts, two
+from keyloom.llm.common import kept, small_batches, texts, two
 
 #: Lengths of stems tried, labelled rows that the lexicon is fitted on at most, least precision of a term.
 STEM, SAMPLE_ROWS, PRECISION = (4, 12), 4000, 0.8
@@ -85,9 +85,6 @@ def automaton(word: str, trie: Trie, edits: int = 1) -> tuple[str, int] | None:
     return (best[2], best[0]) if best else None
 
 
-_held: dict[str, Lexicon] = {}
-
-
 @dataclass
 class Lexicon:
     """Terms with their precision, how far a misspelling of each is trusted, and words that are none."""
@@ -124,10 +121,7 @@ class Lexicon:
 
     def held(self) -> Lexicon:
         """This lexicon as the worker process holds it, so that its tasks share what words gave."""
-        if self.key not in _held:
-            _held.clear()
-            _held[self.key] = self
-        return _held[self.key]
+        return kept(("lexicon", self.key), lambda: self)
 
     def possible(self, plain: str) -> bool:
         """Whether the letters of a word leave a term within one edit possible."""
